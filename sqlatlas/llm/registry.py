@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, packing, tokens
+from . import chat, decontaminate, exact_dedup, langid, lm_score, packing, pii, tokens
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,9 @@ QUERIES = {
         chat.op1_chat_format,
         exact_dedup.op3_exact_dedup,
         decontaminate.op4_decontaminate,
+        langid.op5_language_id,
+        pii.op7_pii,
+        lm_score.op8_lm_score,
         packing.op9_best_fit_packing,
         tokens.op10_token_counts,
     )
