@@ -43,6 +43,24 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_lookup(rows: DataFrame, key: str, classes: DataFrame, values: list[str], spread_by: str) -> DataFrame:
+    """rows left-joined with a stored table of classes (key, size, values); size is the class's number of rows.
+
+    Classes of over a thousandth of all rows (and of 1000 rows at least) number at most 1000: they are
+    broadcast. Rows of the others join by key, so no task meets more than such a share of the rows.
+    """
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    bound = max(1000, total // 1000)
+    hot = classes.filter(F.col("size") > bound).select(key, *(F.col(v).alias(f"__{v}") for v in values), F.lit(True).alias("__hot"))
+    rest = classes.filter(F.col("size") <= bound).select(F.col(key).cast("string").alias("__at"), *values)
+    rows = rows.join(F.broadcast(hot), key, "left")
+    spread = F.concat_ws("#", key, F.pmod(F.xxhash64(spread_by), F.lit(4096)))
+    rows = rows.withColumn("__at", F.when(F.col("__hot"), spread).otherwise(F.col(key).cast("string")))
+    rows = rows.join(rest, "__at", "left")
+    found = {v: F.when(F.col("__hot"), F.col(f"__{v}")).otherwise(F.col(v)) for v in values}
+    return rows.withColumns(found).drop("__at", "__hot", *(f"__{v}" for v in values))
+
+
 def text_of(col: str | Column) -> Column:
     """Null text counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
