@@ -16,6 +16,7 @@ doc_id and piece. A null doc_id is packed like any other. An empty table gives n
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import CACHED, load_tokenizer, specials
+from .tokens import CACHED, PLAIN, byte_level, kept, specials
 
 CAPACITY, END_ID = 4096, 1
 GROUP_TOKENS, GROUP_ROWS = 16 << 20, 200_000
@@ -38,10 +39,16 @@ class Ids(dict):
     """Little-endian 32-bit ids of a run of text without white space."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
 
     def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        m = PLAIN.fullmatch(run)
+        if m and not m[2]:  # one pre-token: the model alone gives its ids
+            ids = struct.pack(f"<{len(t := self.model.tokenize(byte_level(run.lower())))}I", *(x.id for x in t))
+        elif m:  # letters and marks are pre-tokens of their own
+            ids = self[m[1]] + self[m[2]]
+        else:
+            ids = struct.pack(f"<{len(t := self.tokenizer.encode(run, add_special_tokens=False).ids)}I", *t)
         if len(self) < CACHED and len(run) < 200:
             self[run] = ids
         return ids
@@ -57,8 +64,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(spec.value)
-        special, ids = specials(tokenizer), Ids(tokenizer)
+        tokenizer, ids = kept(spec.value, Ids)
+        special = specials(tokenizer)
         find, end = ids.__getitem__, np.array([END_ID], "<u4").tobytes()
         odd = set(map(chr, range(0x1C, 0x20)))
         for batch in batches:

@@ -13,6 +13,7 @@ An empty table gives no rows. A very long piece without blanks is encoded by the
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Entries of the broadcast table, and of a worker's cache with it: bounds of their memory.
-FREQUENT, CACHED = 50_000, 400_000
+FREQUENT, CACHED = 50_000, 500_000
 #: Rows and characters of the sample that fills the broadcast table. It decides speed only, no result.
 PRIME_ROWS, PRIME_CHARS = 2_000, 4_096
 
@@ -38,15 +39,47 @@ def pieces(text: str) -> list[str]:
     return text.split(" ") if not _NEAR_BLANK.search(text) else _SINGLE.split(text)
 
 
+#: One run of precomposed Latin letters, then marks that always begin a pre-token of their own (no apostrophe).
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes bytes as letters: printable ones as themselves, the others from 256 upward, in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def byte_level(text: str) -> str:
+    return text.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
 class Lengths(dict):
-    """Number of tokens of ' ' + piece; a miss is encoded and kept while there is room."""
+    """Number of tokens of ' ' + piece; a miss is encoded and kept while there is room.
+
+    A piece of letters and marks is a pre-token ' letters' and one of marks, so the model alone gives its length.
+    """
 
-    def __init__(self, tokenizer, frequent: dict[str, int]):
+    def __init__(self, tokenizer, frequent: dict[str, int] = {}):  # noqa: B006
         super().__init__(frequent)
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model, self.marks = tokenizer, tokenizer.model, {"": 0}
+
+    def _marks(self, marks: str) -> int:
+        n = self.marks.get(marks)
+        if n is None:
+            n = len(self.tokenizer.encode(marks, add_special_tokens=False).ids)
+            if len(self.marks) < 1000:
+                self.marks[marks] = n
+        return n
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.tokenizer.encode(" " + piece, add_special_tokens=False).ids)
+        if m := PLAIN.fullmatch(piece):
+            n = len(self.model.tokenize(byte_level(" " + m[1]))) + self._marks(m[2])
+        else:
+            n = len(self.tokenizer.encode(" " + piece, add_special_tokens=False).ids)
         if len(self) < CACHED and len(piece) < 200:
             self[piece] = n
         return n
@@ -58,6 +91,19 @@ def load_tokenizer(spec: str):
     return Tokenizer.from_str(spec)
 
 
+#: A worker process keeps a tokenizer and its cache for its next tasks.
+_KEPT: dict[tuple[str, str], tuple] = {}
+
+
+def kept(spec: str, cache: type) -> tuple:
+    """(tokenizer, cache) of this worker."""
+    key = (cache.__name__, hashlib.sha256(spec.encode()).hexdigest())
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = (t := load_tokenizer(spec), cache(t))
+    return _KEPT[key]
+
+
 def specials(tokenizer) -> re.Pattern | None:
     names = sorted((x.content for x in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
     return re.compile("|".join(map(re.escape, names))) if names else None
@@ -78,8 +124,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, frequent = tiers.value
-        tokenizer = load_tokenizer(spec)
-        special, lengths = specials(tokenizer), Lengths(tokenizer, frequent)
+        tokenizer, lengths = kept(spec, Lengths)
+        special = specials(tokenizer)
+        lengths.update(frequent)
         find, whole = lengths.__getitem__, lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids)
         for batch in batches:
             n_bytes, n_tokens = [], []
