@@ -16,6 +16,7 @@ doc_id and piece. A null doc_id is packed like any other. An empty table gives n
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,37 +29,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import CACHED, PLAIN, byte_level, kept, specials
+from .tokens import CACHED, byte_level, kept, specials
 
 CAPACITY, END_ID = 4096, 1
 GROUP_TOKENS, GROUP_ROWS = 16 << 20, 200_000
 NODES, FILLINGS = 3_000, 12
 
 
+#: The tokenizer's own pattern for texts of ASCII and precomposed Latin letters only, lower-cased.
+_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_FOREIGN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
+
+
 class Ids(dict):
-    """Little-endian 32-bit ids of a run of text without white space."""
+    """Little-endian 32-bit ids of a pre-token; a miss is encoded by the model and kept while there is room."""
 
     def __init__(self, tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
 
-    def __missing__(self, run: str) -> bytes:
-        m = PLAIN.fullmatch(run)
-        if m and not m[2]:  # one pre-token: the model alone gives its ids
-            ids = struct.pack(f"<{len(t := self.model.tokenize(byte_level(run.lower())))}I", *(x.id for x in t))
-        elif m:  # letters and marks are pre-tokens of their own
-            ids = self[m[1]] + self[m[2]]
-        else:
-            ids = struct.pack(f"<{len(t := self.tokenizer.encode(run, add_special_tokens=False).ids)}I", *t)
-        if len(self) < CACHED and len(run) < 200:
-            self[run] = ids
+    def __missing__(self, pre: str) -> bytes:
+        ids = packed_ids([x.id for x in self.model.tokenize(byte_level(pre))])
+        if len(self) < CACHED and len(pre) < 200:
+            self[pre] = ids
         return ids
 
+    def of(self, text: str) -> bytes:
+        """Ids of a whole text without special strings. Texts with other characters go to the library."""
+        if _FOREIGN.search(text):
+            return packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.__getitem__, _PRE_TOKEN.findall(text.lower())))
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row.
 
-    The tokenizer's normalizer turns white space into blanks, which its pattern then drops, so runs between white space are
-    tokenized alone. Control characters that Python alone calls white space send the text to the library as a whole.
+    The tokenizer's normalizer composes characters, lower-cases them and turns white space into blanks, which its pattern then
+    drops; of texts that need no composing, the same pattern gives the pre-tokens here, and the model their ids.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -66,16 +76,15 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, ids = kept(spec.value, Ids)
         special = specials(tokenizer)
-        find, end = ids.__getitem__, np.array([END_ID], "<u4").tobytes()
-        odd = set(map(chr, range(0x1C, 0x20)))
+        end = packed_ids([END_ID])
         for batch in batches:
             rows = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 text = text.as_py() or ""
-                if (special and "<|" in text and special.search(text)) or not odd.isdisjoint(text):
-                    data = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
+                if special and "<|" in text and special.search(text):
+                    data = packed_ids(tokenizer.encode(text, add_special_tokens=False).ids) + end
                 else:
-                    data = b"".join(map(find, text.split())) + end
+                    data = ids.of(text) + end
                 n = len(data) // 4
                 for k in range(0, n, capacity):
                     cut = data[4 * k : 4 * (k + capacity)]

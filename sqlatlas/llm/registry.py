@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, langid, lm_score, packing, pii, tokens
+from . import chat, decontaminate, exact_dedup, langid, lm_score, ngram_join, packing, pii, tokens
 
 QUERIES = {
     f.__name__: f
     for f in (
         chat.op1_chat_format,
+        ngram_join.op2_ngram_jaccard_join,
         exact_dedup.op3_exact_dedup,
         decontaminate.op4_decontaminate,
         langid.op5_language_id,

@@ -40,7 +40,7 @@ def pieces(text: str) -> list[str]:
 
 
 #: One run of precomposed Latin letters, then marks that always begin a pre-token of their own (no apostrophe).
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
