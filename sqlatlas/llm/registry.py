@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, langid, lm_score, ngram_join, packing, pii, tokens
+from . import chat, decontaminate, exact_dedup, langid, lm_score, ngram_join, packing, pii, suffix_dedup, tokens
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         exact_dedup.op3_exact_dedup,
         decontaminate.op4_decontaminate,
         langid.op5_language_id,
+        suffix_dedup.op6_suffix_dedup,
         pii.op7_pii,
         lm_score.op8_lm_score,
         packing.op9_best_fit_packing,
