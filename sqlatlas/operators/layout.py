@@ -246,7 +246,7 @@ def overlaps(boxes: DataFrame, cell: int = 256) -> DataFrame:
     """One row: n, the pairs of boxes (id, x, y, w, h) that intersect; boxes meet in the grid cells that they cover."""
 
     def cells(lo: str, size: str):
-        return F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(lo) + F.col(size)) / cell))
+        return F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor((F.col(lo) + F.col(size)) / cell).cast("long"))
 
     grid = boxes.withColumn("cx", F.explode(cells("x", "w"))).withColumn("cy", F.explode(cells("y", "h")))
     a, b = grid.alias("a"), grid.alias("b")
