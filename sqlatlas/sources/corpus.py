@@ -15,8 +15,8 @@ AHEAD = 10
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """file_id, name, text of .sql, .ddl and .txt files under path (folders are searched)."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{sql,ddl,txt}").option("wholetext", "true")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{sql,ddl,txt}")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 
 def pasted(spark: SparkSession, text: str, name: str = "Pasted SQL") -> DataFrame:

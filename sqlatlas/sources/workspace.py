@@ -90,7 +90,7 @@ def load(spark: SparkSession, path: str) -> DataFrame | None:
     """The saved snapshot, repaired; a corrupt one is removed and gives None."""
     if not exists(spark, path):
         return None
-    rows = parse_workspaces(spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "json"))
+    rows = parse_workspaces(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
     if rows.filter("error is null").isEmpty():
         clear(spark, path)
         return None
