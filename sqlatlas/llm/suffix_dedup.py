@@ -31,7 +31,7 @@ from .induced import suffix_order
 
 WIDTH, GRAM = 200, 32
 SPAN = WIDTH - GRAM + 1  # 32-grams in a string
-SHARD_BYTES, ROWS_A_BUCKET = 12 << 20, 500_000
+SHARD_BYTES, ROWS_A_BUCKET = 4 << 20, 500_000
 LEAST_BITS, MOST_BITS = 20, 30
 
 
@@ -115,7 +115,7 @@ def repeated_grams(docs: DataFrame, buckets: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             g, n = np.unique(np.concatenate(held), return_counts=True)
             parts = list(_cut((g % np.uint64(buckets)).astype(np.int64), buckets))
-            arrays = [pa.array([k for k, _ in parts], pa.int32()), pa.array([g[o].tobytes() for _, o in parts], pa.binary()), pa.array([np.minimum(n[o], 2).astype(np.uint8).tobytes() for _, o in parts], pa.binary())]
+            arrays = [pa.array([k for k, _ in parts], pa.int32()), pa.array([g[o].tobytes() for _, o in parts], pa.binary()), pa.array([n[o].astype("<i4").tobytes() for _, o in parts], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, ["bucket", "grams", "counts"])
 
         for batch in batches:
@@ -130,13 +130,13 @@ def repeated_grams(docs: DataFrame, buckets: int) -> DataFrame:
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         g = np.concatenate([np.frombuffer(x, np.uint64) for x in part["grams"]])
-        n = np.concatenate([np.frombuffer(x, np.uint8) for x in part["counts"]]).astype(np.int64)
+        n = np.concatenate([np.frombuffer(x, "<i4") for x in part["counts"]]).astype(np.int64)
         order = np.argsort(g)
         g, n = g[order], n[order]
         first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         total = np.add.reduceat(n, first)
         many = g[first][total > 1]
-        return pd.DataFrame({"grams": [many.tobytes()], "n": [int(np.add.reduceat(np.ones(len(g), np.int64), first)[total > 1].sum())]})
+        return pd.DataFrame({"grams": [many.tobytes()], "n": [int(total[total > 1].sum())]})
 
     return docs.select("text").mapInArrow(run, "bucket int, grams binary, counts binary").groupBy("bucket").applyInPandas(count, "grams binary, n long")
 
@@ -235,9 +235,10 @@ def repeated(contexts: DataFrame) -> DataFrame:
         text[:-1][own] = raw[source[own]].astype(np.uint16) + 2
         text[-1] = 0
         string = inside < np.repeat(many[one], size[one] + 1)  # places where a string starts
+        del inside, source, own
         order = suffix_order(text, WIDTH)
         order = order[np.append(string, False)[order]]
-        h = string_hashes(np.where(own, raw[np.minimum(source, len(raw) - 1)], 0).astype(np.uint8), order)
+        h = string_hashes((text[:-1] - 1).astype(np.uint8), order)
         same = h[1:] == h[:-1]
         hit = np.zeros(n, bool)
         hit[order[1:][same]] = hit[order[:-1][same]] = True
