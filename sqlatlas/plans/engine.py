@@ -8,6 +8,7 @@ not parse again; ``register`` publishes temp views.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lexer import tokens
 from ..functions.vocab import DIALECTS
 from ..operators.analysis import analyse
 from ..operators.flow import Options
@@ -66,6 +68,8 @@ def analysed(units: DataFrame, dialect: str = "auto", mode: str = "auto", option
                 rows = []
                 for unit, sql in zip(part.column("unit_id").to_pylist(), part.column("sql").to_pylist(), strict=True):
                     row = analyse(sql, dialect, mode, own, cat.resolve if cat else None, cat.suffixes if cat else None)
+                    for f in cat.findings if cat else ():
+                        row["findings"].append({"ord": len(row["findings"]), **f._asdict()})
                     row["stats"], row["flow_stats"] = list(row["stats"].items()), list(row["flow_stats"].items())
                     rows.append({"unit_id": unit, **row})
                 yield pa.RecordBatch.from_pylist(rows, schema)
@@ -115,6 +119,20 @@ class Estate:
         lists = F.array(*(F.struct(F.lit(r).alias("role"), F.col(r).alias("names")) for r in ("reads", "writes", "calls")))
         return self.rows.select("unit_id", F.explode(lists).alias("l")).select("unit_id", "l.role", F.posexplode("l.names").alias("ord", "name"))
 
+    @property
+    def tokens(self) -> DataFrame:
+        """The token table of all units: unit_id, ord, kind, v, u, nl, pos, end."""
+        return tokens(self.units)
+
+    @property
+    def diagnostics(self) -> DataFrame:
+        """The findings of all objects, and those of the catalogue once more for the estate (without a unit)."""
+        own = self.part("findings")
+        if not self.catalogue or not self.catalogue.findings:
+            return own
+        rows = [(None, i, *f) for i, f in enumerate(self.catalogue.findings)]
+        return own.unionByName(self.spark.createDataFrame(rows, own.select("unit_id", "ord", "severity", "code", "message", "start", "end", "scope").schema))
+
     @property
     def stats(self) -> DataFrame:
         """unit_id, metric, value of the selected graph."""
@@ -123,7 +141,7 @@ class Estate:
     def register(self, prefix: str = "estate_") -> None:
         for name in ("statements", "branches", "nodes", "edges", "ast", "findings", "constructs"):
             self.part(name).createOrReplaceTempView(prefix + name)
-        for name in ("objects", "references", "stats"):
+        for name in ("objects", "references", "stats", "tokens", "diagnostics"):
             getattr(self, name).createOrReplaceTempView(prefix + name)
 
 
@@ -183,3 +201,15 @@ def corpus_metrics(rows: DataFrame) -> DataFrame:
         rate(F.col("opaque"), F.col("total")).alias("opaque_rate"), rate(F.col("unknown"), F.col("statements")).alias("fallback_rate"), rate(F.col("kinds"), F.col("edges")).alias("edge_kind_rate"),
         rate(F.col("provenance"), F.col("nodes")).alias("provenance_rate"), rate(F.col("spanned"), F.col("regional")).alias("finding_span_rate"), "total", "statements",
     )
+
+
+def metrics_snapshot(rows: DataFrame) -> str:
+    """``corpus_metrics`` as sorted JSON, to be stored and compared."""
+    return json.dumps(corpus_metrics(rows).first().asDict(), sort_keys=True, default=float, indent=2)
+
+
+def verify_snapshot(rows: DataFrame, stored: str) -> None:
+    """Raises if the stored snapshot is stale."""
+    now = metrics_snapshot(rows)
+    if json.loads(now) != json.loads(stored):
+        raise ValueError(f"the stored metrics are stale; now:\n{now}")

@@ -149,3 +149,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.name, len(r.nodes)) for r in reanalyse.latest(spark, str(tmp_path / "out")).collect()} == want
     go()  # nothing new
     assert reanalyse.latest(spark, str(tmp_path / "out")).count() == 4
+
+
+def test_snapshot_and_diagnostics(spark):
+    cat = catalogue.parse_catalogue("a\na")
+    e = engine.Estate(corpus.samples(spark), catalogue=cat)
+    stored = engine.metrics_snapshot(e.rows)
+    engine.verify_snapshot(e.rows, stored)
+    with pytest.raises(ValueError, match="stale"):
+        engine.verify_snapshot(e.rows, stored.replace("1.0", "0.5"))
+    got = e.diagnostics.filter("code = 'catalogue_conflict'").collect()
+    assert len(got) == 5 and sum(r.unit_id is None for r in got) == 1
+    assert e.tokens.filter("kind = 'dollar'").count() == 1
+
+
+def test_sql_functions(spark):
+    from sqlatlas.functions.register import register
+
+    register(spark)
+    rows = spark.sql("SELECT f.kind, f.reads FROM VALUES ('SELECT 1 FROM a; EXEC(@s)') t(s), LATERAL sql_statements(s, 'tsql') f ORDER BY f.ord").collect()
+    assert [(r.kind, r.reads) for r in rows] == [("stmt", ["a"]), ("dynamic", [])]
+    assert [r.code for r in spark.sql("SELECT code FROM sql_findings('SELECT (', 'tsql')").collect()] == ["unclosed_parenthesis"]
