@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -229,19 +228,20 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     groups = max(1, -(-tokens // GROUP_TOKENS), -(-rows // GROUP_ROWS))
     rest = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+    def pack(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         sequence, offset = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-        sizes = part["length"].tolist()
+        sizes = part["length"].to_pylist()
         for k, items in enumerate(complete(sizes, capacity)):
             at = 0
             for i in items:
                 sequence[i], offset[i] = k, at
                 at += sizes[i]
-        return part.assign(sequence_id=(part["grp"].to_numpy() << 32) + sequence, offset=offset)
+        group = part["grp"][0].as_py() << 32
+        return part.append_column("sequence_id", pa.array(group + sequence)).append_column("offset", pa.array(offset))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    done = rest.groupBy("grp").applyInPandas(pack, f"{kinds}, grp long, sequence_id long, offset long").drop("grp")
+    done = rest.groupBy("grp").applyInArrow(pack, f"{kinds}, grp long, sequence_id long, offset long").drop("grp")
     return whole.unionByName(done)
 
 

@@ -111,7 +111,7 @@ def test_packing_round_trip(spark):
     library = Tokenizer.from_file(path)
     rng = random.Random(3)
     texts = AWKWARD + ["".join(rng.choice(["ab", " ", "\n", "'s", "9", "é", "Σ", "é", "\x1d", "İ", "　", "<|startoftext|>"]) for _ in range(rng.randint(0, 400))) for _ in range(60)] + ["word " * 9000]
-    frame = docs(spark, texts).unionByName(docs(spark, ["twice"], 3).limit(1))
+    frame = docs(spark, texts).unionByName(docs(spark, ["twice"], 3).limit(1)).unionByName(docs(spark, ["none", "big"]).withColumn("doc_id", F.when(F.col("doc_id") == 1, F.lit((1 << 62) + 1))))
     got = packing.pack_documents(frame, path).collect()
     pieces = defaultdict(list)
     for r in got:
@@ -120,6 +120,7 @@ def test_packing_round_trip(spark):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         want = [(k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)]
         assert sorted(pieces[i])[: len(want)] == want or i == 3, t
+    assert {None, (1 << 62) + 1} <= set(pieces)
     check_places(got, 4096)
     total = sum(r.length for r in got)
     assert len({r.sequence_id for r in got}) <= -(-total // 4096) + 1
