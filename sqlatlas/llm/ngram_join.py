@@ -4,17 +4,19 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Its po
 overlap of two sets is at most the sum of their coordinates' minima, so a box of an R-tree whose upper corner cannot
 reach the overlap that the threshold demands is skipped, and only surviving pairs are verified on their whole sets.
 
-All points in one tree would not scale out, so shards come first. Shingles have a global order: by a sketch of document frequencies
-over all rows (2**20 counters, level by powers of two), then by hash. Sets whose Jaccard index is at least t share l shingles among
-the first n - ceil(t * n) + l of each, or all they share. So each document goes to the shards of these leading shingles:
+All points in one tree would not scale out, so shards come first. Shingles have a global order: by the level of their document
+frequency, counted over all rows from 32-bit parts of the hashes in buckets, then by hash. The levels reach the tasks as a table of
+bounded size with two probes, in which collisions only raise a level: alike for all, so the order stays one order. Sets
+whose Jaccard index is at least t share l shingles among the first n - ceil(t * n) + l of each, or all they share. Of these leading
+shingles, those of frequency one meet nothing; by the others each document goes to shards:
 
 * shards of up to ``SMALL`` sets: every pair of sizes that fit. A pair that meets only in such shards must meet l times;
-* larger shards: first each set against one hub (a cheap round, which joins most copies). After components are
-  known, sets of different components in one shard are searched by R-tree, without a limit; shards over ``SHARD``
-  sets are dealt out in pairs of blocks.
+* larger shards: first each set against one hub of its shards, then, by R-tree, against the few nearest sets of other components
+  (cheap rounds, which join most of a group of copies). What still lies in different components of one shard is then searched by
+  R-tree without a limit. Shards over ``SHARD`` sets are dealt out in pairs of blocks.
 
-Surviving pairs are verified in both rounds, and all verified links make the components. Nothing is capped: what the first round leaves
-out, the second finds. Equal sets are one node from the start (identified by a 64-bit sum over the set), so copies cost one node.
+Surviving pairs are verified in every round, and all verified links make the components. Nothing is capped: what the first rounds leave
+out, the last finds. Equal sets are one node from the start (identified by a 64-bit sum over the set), so copies cost one node.
 The main data (leading shingles) move as packed arrays, once.
 
 Null text, or text without words, has no shingles and is linked with nothing: it is its own component. A text of one to four words is
@@ -33,16 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, Words, blocks, hot_lookup, mix, table, written
+from .common import NOT_BLANK, Words, blocks, hot_lookup, mix, slices_of, table, written
 from .components import components
 
-SIZE, DIMS = 5, 64
+SIZE, DIMS = 5, 256
 NUM, DEN = 3, 4  # the threshold 0.75
 SHARED = 4  # l
-SMALL, SHARD = 8, 8_192
-SKETCH_BITS, CHUNK = 20, 1 << 14
-BLOOM_BITS = 26
-ROWS_A_BUCKET = 500_000
+SMALL, SHARD, NEAREST = 8, 8_192, 2
+#: Document frequencies from which a level begins; shingles below the first are not sent.
+LEVELS = (2, 9, 65, 513, 4097, 32_769)
+LEAST_BITS, MOST_BITS = 16, 27
+CHUNK, BLOOM_BITS = 1 << 14, 26
+ROWS_A_BUCKET, PRINTS_A_BUCKET = 500_000, 1 << 20
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -74,39 +78,99 @@ def signature(shingles: np.ndarray) -> int:
     return int((mix(shingles ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64) + np.uint64(len(shingles))).astype(np.int64))
 
 
-def point(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype("<u2" if len(shingles) < 1 << 16 else "<u4")
+def point(shingles: np.ndarray) -> bytes:
+    """Counts by hash group, a byte each; 255 stands for any count from there."""
+    return np.minimum(np.bincount((shingles & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS), 255).astype(np.uint8).tobytes()
+
+
+def points_of(packed: list[bytes]) -> np.ndarray:
+    out = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, DIMS).astype(np.int16)
+    out[out == 255] = np.iinfo(np.int16).max  # no bound on this coordinate
+    return out
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(1, dtype=np.int64)
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     texts = [(x.as_py() or "").encode().lower() for x in batch.column("text")]
-    for lo, hi in blocks(texts, 4 << 20):
+    for lo, hi in blocks(texts, 2 << 20):
         yield from shingle_sets(texts[lo:hi])
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig, point of every row; and rows (chunk, counts) of each task's sketch of document frequencies."""
+def profiles(docs: DataFrame, bucket_bits: int) -> DataFrame:
+    """doc_id, n, sig, point of every row; and rows (bucket, prints): 32 bits of every shingle hash, by its first bits, packed."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = ["doc_id", "n", "sig", "point", "bucket", "prints"]
+    id_type = docs.schema["doc_id"].dataType
+    id_arrow = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["doc_id", "n", "sig", "point", "chunk", "counts"]
-        for batch in batches:
+        held: list[np.ndarray] = []
+        known: set[int] = set()
+
+        def flush() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))  # by bucket, then by print
+            prints = (h >> np.uint64(32 - bucket_bits)).astype("<u4")
+            cuts = np.searchsorted(h, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)) if bucket_bits else np.zeros(1, np.int64)
+            parts = [(k, prints[x:y].tobytes()) for k, (x, y) in enumerate(zip(cuts, [*cuts[1:], len(h)], strict=True)) if y > x]
+            m = len(parts)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, id_arrow), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names)
+
+        for batch in slices_of(batches):
             n, sig, points = [], [], []
             for s in _sets(batch):
                 n.append(len(s))
                 sig.append(signature(s))
-                points.append(point(s).astype("<u4").tobytes())
-                np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            empty = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(points, pa.binary()), *empty], names)
-        chunks = [(k, sketch[k * CHUNK : (k + 1) * CHUNK].astype("<i4").tobytes()) for k in range(len(sketch) // CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(chunks), id_arrow), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.binary()), pa.array([k for k, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())], names)
+                points.append(point(s))
+                if len(s) and sig[-1] not in known:
+                    known.add(sig[-1])
+                    held.append(s)
+            m = len(n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(points, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            if sum(map(len, held)) > 1_500_000:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, sig long, point binary, bucket int, prints binary")
+
+
+def frequent(made: DataFrame, bucket_bits: int) -> DataFrame:
+    """(names, levels, n): the shingles of at least LEVELS[0] occurrences by bucket, as the hash's first bits, and their levels."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.concatenate([np.frombuffer(v, "<u4") for v in part["prints"]])
+        u, c = np.unique(x, return_counts=True)
+        u, c = u[c >= LEVELS[0]], c[c >= LEVELS[0]]
+        name = (np.uint64(int(part["bucket"].iloc[0])) << np.uint64(32)) | u.astype(np.uint64)
+        return pd.DataFrame({"names": [name.tobytes()], "levels": [np.searchsorted(LEVELS, c, "right").astype(np.uint8).tobytes()], "n": [len(u)]})
+
+    return made.filter("bucket is not null").select("bucket", "prints").groupBy("bucket").applyInPandas(run, "names binary, levels binary, n long")
 
-    id_type = docs.schema["doc_id"].dataType
-    id_arrow = to_arrow_type(id_type)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, sig long, point binary, chunk int, counts binary")
+
+def _places(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(names)
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def level_table(found: DataFrame, bits: int) -> np.ndarray:
+    """2**bits levels; a shingle's is the lesser of its two places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.zeros(1 << bits, np.uint8)
+        for batch in batches:
+            for names, own in zip(batch.column("names"), batch.column("levels"), strict=True):
+                x, y = np.frombuffer(names.as_buffer(), np.uint64), np.frombuffer(own.as_buffer(), np.uint8)
+                for at in _places(x, bits):
+                    np.maximum.at(levels, at, y)
+        parts = [(k, levels[k * CHUNK * 4 : (k + 1) * CHUNK * 4].tobytes()) for k in range(len(levels) // (CHUNK * 4))]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["chunk", "counts"])
+
+    return merged(found.select("names", "levels").coalesce(4).mapInArrow(run, "chunk int, counts binary"), "u1", np.maximum)
 
 
 def merged(rows: DataFrame, kind: str, op: Callable) -> np.ndarray:
@@ -120,16 +184,17 @@ def merged(rows: DataFrame, kind: str, op: Callable) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], kind) for r in sorted(got, key=lambda r: r["chunk"])]) if got else np.zeros(0, kind)
 
 
-def leading(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The first shingles in the global order: rare ones first."""
+def leading(shingles: np.ndarray, levels: np.ndarray, bits: int, bucket_bits: int) -> np.ndarray:
+    """The first shingles in the global order, rare ones first, without those that occur once."""
     n = len(shingles)
     most = min(n, n - -(-NUM * n // DEN) + SHARED)
-    level = levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    order = np.argsort((level << np.uint64(58)) | (shingles >> np.uint64(6)))
-    return shingles[order[:most]]
+    a, b = _places(shingles >> np.uint64(32 - bucket_bits), bits)
+    level = np.minimum(levels[a], levels[b]).astype(np.uint64)
+    order = np.argsort((level << np.uint64(58)) | (shingles >> np.uint64(6)))[:most]
+    return shingles[order[level[order] > 0]]
 
 
-def dealt(docs: DataFrame, levels, buckets: int) -> DataFrame:
+def dealt(docs: DataFrame, levels, bits: int, bucket_bits: int, buckets: int) -> DataFrame:
     """(bucket, shingles, sigs, sizes): the leading shingles of all rows, packed by bucket; equal sets once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +211,17 @@ def dealt(docs: DataFrame, levels, buckets: int) -> DataFrame:
             arrays = [pa.array([k for k, _ in out], pa.int32())] + [pa.array([x[o].tobytes() for _, o in out], pa.binary()) for x in (s, g, n)]
             return pa.RecordBatch.from_arrays(arrays, ["bucket", "shingles", "sigs", "sizes"])
 
-        for batch in batches:
+        for batch in slices_of(batches):
             for s in _sets(batch):
                 if not len(s) or (g := signature(s)) in known:
                     continue
                 known.add(g)
-                lead = leading(s, levels.value)
+                lead = leading(s, levels.value, bits, bucket_bits)
+                if not len(lead):
+                    continue
                 held.append((lead, np.full(len(lead), g, np.int64), np.full(len(lead), len(s), np.int32)))
                 rows += len(lead)
-                if rows > 2_000_000:
+                if rows > 1_000_000:
                     yield flush()
                     held.clear()
                     rows = 0
@@ -208,7 +275,11 @@ def met(packed: DataFrame) -> DataFrame:
             hub = g[large][best[np.searchsorted(at[best], np.arange(len(heads)))]][at]
             hub_n = n[large][best[np.searchsorted(at[best], np.arange(len(heads)))]][at]
             out.append(pd.DataFrame({"a": g[large], "b": 0, "size_a": n[large], "size_b": 0, "n": 0, "hub": False, "shingle": s[large].view(np.int64)}).assign(n=-1))
-            k = (hub != g[large]) & fits(hub_n, n[large])
+            # of its shards' hubs, a set takes the least: the second round has no need of this one's pairs
+            by = np.lexsort((mix(hub.view(np.uint64)), g[large]))
+            k = np.zeros(len(large), bool)
+            k[by[np.append(True, g[large][by][1:] != g[large][by][:-1])]] = True
+            k &= (hub != g[large]) & fits(hub_n, n[large])
             star = pd.DataFrame({"a": np.minimum(hub, g[large])[k], "b": np.maximum(hub, g[large])[k], "size_a": np.where(hub < g[large], hub_n, n[large])[k], "size_b": np.where(hub < g[large], n[large], hub_n)[k]})
             out.append(star.drop_duplicates().assign(n=1, hub=True, shingle=0))
         return pd.concat(out)[names] if out else pd.DataFrame({x: pd.Series([], dtype="bool" if x == "hub" else "int64") for x in names})
@@ -242,19 +313,22 @@ class Tree:
             fine = (DEN * high_n[at] >= NUM * n) & (NUM * low_n[at] <= DEN * n)
             at = at[fine]
             least = np.maximum(low_n[at], -(-NUM * n // DEN))
-            at = at[np.minimum(high[at], q).sum(1) >= needed(least, n)]
+            at = at[overlap_bound(high[at], q) >= needed(least, n)]
             at = (at[:, None] * self.LEAF + np.arange(self.LEAF)).ravel()
             at = at[at < (len(self.levels[k - 1][0]) if k else len(self.points))]
         at = at[fits(self.sizes[at], np.int64(n))]
-        at = at[np.minimum(self.points[at], q).sum(1) >= needed(self.sizes[at], n)]
+        at = at[overlap_bound(self.points[at], q) >= needed(self.sizes[at], n)]
         return self.order[at]
 
 
-def searched(members: DataFrame) -> DataFrame:
-    """(a, b) of different components that the tree of their shard does not rule out. members: shard, x, y, block, sig, n, point, label."""
+def searched(members: DataFrame, nearest: int | None) -> DataFrame:
+    """(a, b) of different components that the tree of their shard does not rule out. members: shard, x, y, block, sig, n, point, label.
+
+    nearest: of a set's pairs in a shard, only so many of the highest bounds.
+    """
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        points = np.stack([np.frombuffer(x, "<u4") for x in rows["point"]]).astype(np.int64)
+        points = points_of(rows["point"].tolist())
         n, g, label, block = (rows[c].to_numpy() for c in ("n", "sig", "label", "block"))
         x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
         inner = np.flatnonzero(block == y)
@@ -262,7 +336,12 @@ def searched(members: DataFrame) -> DataFrame:
         found = [np.zeros((2, 0), np.int64)]
         for i in np.flatnonzero(block == x):
             j = inner[tree.search(points[i], int(n[i]))]
-            j = j[(label[j] != label[i]) & ((g[j] > g[i]) | (x != y))]
+            j = j[label[j] != label[i]]
+            if nearest is None:
+                j = j[(g[j] > g[i]) | (x != y)]
+            elif len(j) > nearest:
+                bound = overlap_bound(points[j], points[i])
+                j = j[np.argsort(bound / (n[j] + n[i] - bound + 1e-9))[-nearest:]]
             found.append(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])]))
         a, b = np.concatenate(found, axis=1)
         return pd.DataFrame({"a": a, "b": b})
@@ -300,7 +379,7 @@ def sets_of(docs: DataFrame, bloom) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         known: set[int] = set()
-        for batch in batches:
+        for batch in slices_of(batches):
             sig, out = [], []
             for s in _sets(batch):
                 if len(s) and (g := signature(s)) not in known and all(bits[at[0] >> 3] >> (7 - (at[0] & 7)) & 1 for at in _probes(np.array([g]))):
@@ -321,9 +400,9 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pa_, pb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, DIMS) for c in ("pa", "pb"))
+            pa_, pb = (points_of(batch.column(c).to_pylist()) for c in ("pa", "pb"))
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            fine = fits(na, nb) & (np.minimum(pa_, pb).sum(1) >= needed(na, nb))
+            fine = fits(na, nb) & (overlap_bound(pa_, pb) >= needed(na, nb))
             yield batch.select(["a", "b"]).filter(pa.array(fine))
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long")
@@ -334,7 +413,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one, two = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("sig").alias("b"), F.col("shingles").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches):
             fine = []
             for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
@@ -351,13 +430,16 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (sets linked with the row's own, over the links verified) of every row of docs."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    made = written(spark, profiles(docs), "profiles")
-    rows = made.filter("chunk is null").select("doc_id", "n", "sig", "point")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bucket_bits = min(30, max(0, (size // 6 // PRINTS_A_BUCKET).bit_length()))
+    made = written(spark, profiles(docs, bucket_bits), "profiles")
+    rows = made.filter("bucket is null").select("doc_id", "n", "sig", "point")
     nodes = written(spark, rows.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("doc_id").alias("low"), F.count("*").alias("size")), "nodes")
-    total = nodes.agg(F.sum(F.floor(F.col("n") / DEN) + SHARED)).first()[0] or 0
-    sketch = merged(made.filter("chunk is not null"), "<i4", np.add)
-    levels = sc.broadcast(np.minimum(np.ceil(np.log2(sketch + 1.0)), 63).astype(np.uint8))
-    packed = dealt(docs, levels, max(1, -(-total // ROWS_A_BUCKET)))
+    found = written(spark, frequent(made, bucket_bits), "frequent")
+    many = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (4 * many).bit_length()))
+    levels = sc.broadcast(level_table(found, bits) if many else np.zeros(1 << bits, np.uint8))  # at most 2**MOST_BITS bytes
+    packed = dealt(docs, levels, bits, bucket_bits, max(1, -(-2 * many // ROWS_A_BUCKET)))
     pairs = written(spark, met(packed), "met")
 
     members = pairs.filter("n = -1").select(F.col("a").alias("sig"), F.col("size_a").alias("n"), F.col("shingle").alias("shard"))
@@ -373,14 +455,18 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     links = written(spark, verified(close, sets), "links")
     labels = components(links)
 
-    named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    open_ = named.groupBy("shard").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shard", "m")
-    left = named.join(open_, "shard").join(nodes.select("sig", "point"), "sig")
-    parts = F.ceil(F.col("m") / SHARD).cast("int")
-    left = left.withColumns({"block": F.pmod(F.xxhash64("sig"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
-    left = left.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("shard", "x", "y", "block", "sig", "n", "point", "label")
-    new = written(spark, searched(left).distinct().join(close, ["a", "b"], "left_anti"), "searched")
-    if not new.isEmpty():
+    tried = close
+    for nearest in (NEAREST, None):
+        named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        open_ = named.groupBy("shard").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shard", "m")
+        left = named.join(open_, "shard").join(nodes.select("sig", "point"), "sig")
+        parts = F.ceil(F.col("m") / SHARD).cast("int")
+        left = left.withColumns({"block": F.pmod(F.xxhash64("sig"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+        left = left.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("shard", "x", "y", "block", "sig", "n", "point", "label")
+        new = written(spark, searched(left, nearest).distinct().join(tried, ["a", "b"], "left_anti"), "searched")
+        if new.isEmpty():
+            continue
+        tried = tried.union(new)
         more = written(spark, verified(new, sets), "links")
         if not more.isEmpty():
             links = links.union(more)

@@ -81,3 +81,19 @@ def test_tree_loses_nothing():
         bound = np.minimum(points, points[i]).sum(1)
         want = np.flatnonzero(ngram_join.fits(sizes, sizes[i]) & (bound >= ngram_join.needed(sizes, sizes[i])))
         assert sorted(tree.search(points[i], int(sizes[i]))) == list(want)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 7])
+def test_components(spark, most, monkeypatch):
+    from sqlatlas.llm import components
+
+    monkeypatch.setattr(components, "EDGES_A_TASK", most)
+    rng = random.Random(most)
+    edges = [(rng.randint(-60, 60), rng.randint(-60, 60)) for _ in range(50)] + [(i, i + 1) for i in range(100, 130)] + [(5, 5)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert {k: got.get(k, k) for k in label} == label
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
