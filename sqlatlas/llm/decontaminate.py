@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, blocks, table
+from .common import ALNUM, Words, blocks, slices_of, table
 
 WINDOW = 10
 SLICE_BYTES = 32 << 20
@@ -100,9 +100,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_
     tests = slices(docs.sparkSession, benchmark, window, slice_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches):
             texts = [(x.as_py() or "").encode().lower() for x in batch.column("text")]
-            out = [row for lo, hi in blocks(texts) for row in judge(texts[lo:hi], tests, window)]
+            out = [row for lo, hi in blocks(texts, 2 << 20) for row in judge(texts[lo:hi], tests, window)]
             if carry:
                 yield batch.filter(pa.array([not row[1] for row in out], pa.bool_()))
                 continue

@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, remainder, table
+from .common import blocks, mix, remainder, slices_of, table
 
 TRAIN_ROWS = 20_000
 SLOTS = 1 << 16
 KINDS = 4
+BLOCK = 1 << 20
 PENALTY = 10.0
 #: A text in which no language has this share of the letters is rejected by ``accepted``.
 LEAST_SHARE = 0.3
@@ -137,11 +138,11 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(KINDS * SLOTS + SCRIPTS, np.int64))
-        for batch in batches:
+        for batch in slices_of(batches):
             langs, texts = batch.column("lang").to_pylist(), [_lower(x.as_py()) for x in batch.column("text")]
             for lang in set(langs):
                 own = [t for x, t in zip(langs, texts, strict=True) if x == lang]
-                for lo, hi in blocks(own, 4 << 20):
+                for lo, hi in blocks(own, BLOCK):
                     block = Block(own[lo:hi])
                     for _, slots in block.slots():
                         held[lang][:-SCRIPTS] += np.bincount(slots, minlength=KINDS * SLOTS)
@@ -161,7 +162,7 @@ def label(texts: list[str], model: Model, penalty: float = PENALTY) -> list[tupl
     """(language, score, spans of (language, first code point, end)) of each text."""
     n = len(model.langs)
     scores, sizes, letters, spots, raw = [], np.zeros(len(texts), np.int64), [], [], [_lower(x) for x in texts]
-    for lo, hi in blocks(raw, 4 << 20):
+    for lo, hi in blocks(raw, BLOCK):
         block = Block(raw[lo:hi])
         scores.append(model.scores(block) if n else np.zeros((len(block.start), 1), np.float32))
         sizes[lo:hi] = np.bincount(block.text_of, minlength=hi - lo)
@@ -192,9 +193,9 @@ def _mapped(docs: DataFrame, model: Model, penalty: float, keep: float | None) -
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches):
             texts = [x.as_py() or "" for x in batch.column("text")]
-            got = [x for lo, hi in blocks(texts, 24 << 20) for x in label(texts[lo:hi], held.value, penalty)]
+            got = label(texts, held.value, penalty)
             if keep is not None:
                 yield batch.filter(pa.array([x != "und" and s >= keep for x, s, _ in got], pa.bool_()))
                 continue

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices_of, table, written
 from .tokens import CACHED, byte_level, kept, specials
 
 CAPACITY, END_ID = 4096, 1
@@ -76,7 +76,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         tokenizer, ids = kept(spec.value, Ids)
         special = specials(tokenizer)
         end = packed_ids([END_ID])
-        for batch in batches:
+        for batch in slices_of(batches):
             rows = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 text = text.as_py() or ""
