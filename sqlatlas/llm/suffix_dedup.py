@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _CODE, blocks, mix, table, text_of, written
+from .common import _CODE, blocks, mix, slices_of, table, text_of, written
 from .induced import suffix_order
 
 WIDTH, GRAM = 200, 32
@@ -118,9 +118,9 @@ def repeated_grams(docs: DataFrame, buckets: int) -> DataFrame:
             arrays = [pa.array([k for k, _ in parts], pa.int32()), pa.array([g[o].tobytes() for _, o in parts], pa.binary()), pa.array([n[o].astype("<i4").tobytes() for _, o in parts], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, ["bucket", "grams", "counts"])
 
-        for batch in batches:
+        for batch in slices_of(batches):
             texts = _texts(batch)
-            for lo, hi in blocks(texts, 8 << 20):
+            for lo, hi in blocks(texts, 2 << 20):
                 held.append(Contexts(texts[lo:hi]).gram)
             if sum(map(len, held)) > 1_000_000:
                 yield flush()
@@ -188,9 +188,9 @@ def sent(docs: DataFrame, bloom, bits: int, shards: int) -> DataFrame:
             cols = ([k for k, _ in rows] + [-1], [key[o].tobytes() for _, o in rows] + [key[told].tobytes()], [start[o].tobytes() for _, o in rows] + [start[told].tobytes()], [many[o].tobytes() for _, o in rows] + [many[told].tobytes()], [again[o].tobytes() for _, o in rows] + [b""], [b"".join(data[i] for i in o) for _, o in rows] + [b""])
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), *[pa.binary()] * 5), strict=True)], names)
 
-        for batch in batches:
+        for batch in slices_of(batches):
             texts, keys = _texts(batch), batch.column("key").to_numpy(zero_copy_only=False)
-            for lo, hi in blocks(texts, 8 << 20):
+            for lo, hi in blocks(texts, 2 << 20):
                 c = Contexts(texts[lo:hi])
                 if not len(c.gram):
                     continue
@@ -200,7 +200,7 @@ def sent(docs: DataFrame, bloom, bits: int, shards: int) -> DataFrame:
                 data = [raw[p : p + m + WIDTH - 1] for p, m in zip(c.at[live].tolist(), c.many[live].tolist(), strict=True)]
                 held.append((c.gram[live], keys[lo:hi][c.doc[live]], c.start[live], c.many[live], data))
                 size += sum(map(len, data))
-                if size > 48 << 20:
+                if size > 24 << 20:
                     yield flush()
                     held.clear()
                     size = 0
@@ -296,7 +296,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     marks = repeated(contexts).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches):
             n, kept, spans = [], [], []
             for text, mark in zip(batch.column("text"), batch.column("marks"), strict=True):
                 text = text.as_py().encode()
