@@ -4,11 +4,12 @@ Base spans follow the fixed patterns of each kind and always stay. Around places
 tld``, a phone number without ``+``, a card number with other separators, an address with spaced dots), a window of the text is cut into
 tokens; segments of at most ``MOST_TOKENS`` tokens are scored as a whole by the kind's features (shape, number of
 digits, checks such as Luhn, cue words before it), all other tokens as outside. Dynamic programming over token positions finds the best
-segmentation with at most ``MOST_ENTITIES`` entities a window, choosing boundaries and kinds jointly. Segments that touch a base span are
+segmentation, with as many entities as the window holds, choosing boundaries and kinds jointly. Segments that touch a base span are
 left out. Weights are fitted here, by stochastic gradient on the model's likelihood, from sentences made by rule with known spans.
 
 Null text counts as empty. Empty texts have no spans. Rows are judged by themselves: ties, repeated rows and extra columns have no
-influence. An empty table gives no rows. Texts of any length are searched whole; only windows around candidates are cut.
+influence. An empty table gives no rows. Texts of any length are searched whole; only windows around candidates are cut, and windows
+that touch are one, so no candidate lies across an edge.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS, MOST_ENTITIES, REACH = 24, 8, 60
+MOST_TOKENS, REACH = 24, 60
 
 # fixed values: the base patterns of the contract
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -120,29 +122,46 @@ def features(text: str, lo: int, hi: int, kind: str, before: set[str]) -> np.nda
     return f
 
 
+def disjoint(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(b, ends[-1])
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 class Window:
     """A piece of text cut into tokens, with its candidate segments (first token, last + 1, kind, features)."""
 
     def __init__(self, text: str, lo: int, hi: int, taken: list[tuple[int, int]]):
         self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
         self.segments: list[tuple[int, int, int, np.ndarray]] = []
+        starts, ends = disjoint(taken)
         for i, (a, _) in enumerate(self.tokens):
             before = {text[x:y].lower() for x, y in self.tokens[max(0, i - 4) : i]}
             for j in range(i + 2, min(len(self.tokens), i + MOST_TOKENS) + 1):
                 b = self.tokens[j - 1][1]
-                if any(x < b and a < y for x, y in taken):
+                last = bisect_left(starts, b) - 1
+                if last >= 0 and a < ends[last]:
                     break
                 for k, kind in enumerate(KINDS):
                     if _SHAPES[kind].fullmatch(text, a, b):
                         self.segments.append((i, j, k, features(text, a, b, kind, before)))
 
 
-def decode(window: Window, weights: np.ndarray, most: int = MOST_ENTITIES) -> list[tuple[int, int, int]]:
-    """The best segmentation with at most ``most`` entities: (first token, last + 1, kind)."""
+def decode(window: Window, weights: np.ndarray, most: int | None = None) -> list[tuple[int, int, int]]:
+    """The best segmentation (with at most ``most`` entities, if given): (first token, last + 1, kind)."""
     n = len(window.tokens)
     by_end: dict[int, list] = {}
     for i, j, k, f in window.segments:
         by_end.setdefault(j, []).append((i, k, float(weights[k] @ f)))
+    if most is None:
+        return _decode_all(n, by_end)
     best = np.full((n + 1, most + 1), -np.inf)
     best[0, 0] = 0
     back: dict[tuple[int, int], tuple[int, int]] = {}
@@ -164,6 +183,26 @@ def decode(window: Window, weights: np.ndarray, most: int = MOST_ENTITIES) -> li
     return out[::-1]
 
 
+def _decode_all(n: int, by_end: dict[int, list]) -> list[tuple[int, int, int]]:
+    """The best segmentation of n tokens by segments (first token, kind, score) by end, in one pass: its time grows with the window only."""
+    best = [0.0] * (n + 1)
+    back: list[tuple[int, int] | None] = [None] * (n + 1)
+    for j in range(1, n + 1):
+        best[j] = best[j - 1]
+        for i, k, s in by_end.get(j, ()):
+            if best[i] + s > best[j]:
+                best[j], back[j] = best[i] + s, (i, k)
+    out, j = [], n
+    while j:
+        if back[j] is None:
+            j -= 1
+        else:
+            i, k = back[j]
+            out.append((i, j, k))
+            j = i
+    return out[::-1]
+
+
 def expected(window: Window, weights: np.ndarray) -> tuple[float, np.ndarray]:
     """log Z and the expected features by kind, by the forward and backward sums over segments."""
     n = len(window.tokens)
@@ -240,14 +279,17 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[str, int, int]
     hits = [(max(0, m.start() - REACH), m.end() + REACH) for m in _TRIGGER.finditer(text)]
     merged: list[list[int]] = []
     for lo, hi in hits:
-        if merged and lo <= merged[-1][1] and hi - merged[-1][0] < 20 * REACH:
+        if merged and lo <= merged[-1][1]:
             merged[-1][1] = max(hi, merged[-1][1])
         else:
-            merged.append([max(lo, merged[-1][1] if merged else 0), hi])
+            merged.append([lo, hi])
+    first = 0
     for lo, hi in merged:
         while 0 < lo < len(text) and text[lo - 1].isalnum() and text[lo].isalnum():  # windows begin between words
             lo += 1
-        near = [(a, b) for a, b in taken if a < hi and lo < b]
+        while first < len(taken) and taken[first][1] <= lo:  # spans that end before this window and all later ones
+            first += 1
+        near = [(a, b) for a, b in taken[first : bisect_left(taken, (hi,))] if lo < b]
         window = Window(text, lo, min(hi, len(text)), near)
         if window.segments:
             added += [(KINDS[k], window.tokens[i][0], window.tokens[j - 1][1]) for i, j, k in decode(window, weights)]

@@ -132,6 +132,22 @@ def test_pii_model_on_unseen_sentences():
     assert hit / real > 0.85 and hit / made > 0.85
 
 
+def test_pii_of_a_contact_list():
+    """As many entities as there are, wherever the windows lie: 100 numbers beside each other."""
+    rng, weights = random.Random(4), pii.trained()
+    text, want = "", []
+    for _ in range(100):
+        own = f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        text += "call "
+        want.append(("phone", len(text), len(text) + len(own)))
+        text += own + rng.choice([" ", "; ", "\n"])
+    base, spans = pii.all_spans(text, weights)
+    assert base == [] and spans == want
+    w = pii.Window(text, 0, len(text), [])
+    got = pii.decode(w, weights)
+    assert len(got) == 100 and got == pii.decode(w, weights, 100)
+
+
 # --- LM scoring ---
 
 
