@@ -82,29 +82,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- candidates and their features --------------------------------------------------------------
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-_TRIGGER = re.compile(
-    r"[0-9][0-9 ().-]{7,}[0-9]|[0-9]+ ?\. ?[0-9]+ ?\. ?[0-9]+ ?\. ?[0-9]+"
-    r"|[A-Za-z0-9._-]+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]+|\b[a-z0-9._-]+ at [a-z0-9-]+ (?:dot [a-z0-9-]+ ?)+"
-)
-_MAYBE = re.compile(r"[0-9][^A-Za-z]{6}|\bdot\b|at ?[\])}]")
+_AT_TAIL = r" ?(?:@|[\[({] ?at ?[\])}]| at ) ?[a-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]| dot ) ?[a-z0-9-]+)+"
 _SHAPES = {
-    "email": re.compile(r"[a-z0-9._+-]+ ?(?:@|[\[({] ?at ?[\])}]| at ) ?[a-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]| dot ) ?[a-z0-9-]+)+", re.I),
+    "email": re.compile(rf"[a-z0-9._+-]+{_AT_TAIL}", re.I),
     "ip": re.compile(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9]{4}(?:[ ./-]{0,2}[0-9]{2,6}){2,4}"),
+    "card": re.compile(r"[0-9]{4}(?:[ ./-]{0,3}[0-9]{2,6}){2,4}"),
     "phone": re.compile(r"(?:\+|00)?[ ]?(?:[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"),
 }
+#: Where candidates are: the shapes themselves. Of an e-mail only what follows its local part, so that long words are passed once.
+_TRIGGERS = (re.compile(rf"(?<=[a-z0-9._+-]){_AT_TAIL}", re.I), *(_SHAPES[k] for k in ("ip", "card", "phone")))
+_MAYBE_AT = re.compile(r"@|\bat\b", re.I)
 _CUES = {
     "email": {"email", "mail", "contact", "write"},
     "ip": {"ip", "address", "host", "server"},
     "card": {"card", "visa", "credit", "pay"},
     "phone": {"phone", "tel", "call", "mobile", "fax"},
 }
-_FEATURES = 12
+_FEATURES = 13
 
 
 def features(text: str, lo: int, hi: int, kind: str, before: set[str]) -> np.ndarray:
     """Of the whole segment text[lo:hi] as one entity of this kind."""
-    own = text[lo:hi]
+    own = text[lo:hi].lower()
     digits = _digits(own)
     f = np.zeros(_FEATURES)
     f[0] = 1
@@ -119,6 +118,7 @@ def features(text: str, lo: int, hi: int, kind: str, before: set[str]) -> np.nda
     f[9] = (lo > 0 and text[lo - 1].isalnum()) or (hi < len(text) and text[hi].isalnum())
     f[10] = kind == "email" and bool(re.search(r"[\[({] ?at|@", own))
     f[11] = kind == "phone" and own.isdigit()
+    f[12] = kind == "email" and not f[10] and ". " in own  # a sentence that ends after "at"
     return f
 
 
@@ -240,7 +240,7 @@ def made_up(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         elif kind == "phone":
             own = rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(num(3), num(3), num(4))
         else:
-            own = rng.choice([num(10), num(11), f"{num(4)} {num(4)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(3)}, {num(3)}, {num(4)}", f"{num(4)} {num(4)} {num(4)}", f"{word()} at {word()}", f"300 . {num(3)} . 999 . 1", ".".join((num(4), num(4), num(4), "9" + num(4)))])
+            own = rng.choice([num(10), num(11), f"{num(4)} {num(4)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(3)}, {num(3)}, {num(4)}", f"{num(4)} {num(4)} {num(4)}", f"{word()} at {word()}", f"{word()} at {word()}. {word().title()}", f"300 . {num(3)} . 999 . 1", ".".join((num(4), num(4), num(4), "9" + num(4)))])
         if kind != "none":
             spans.append((kind, len(text), len(text) + len(own)))
         text += own + " " + " ".join(word() for _ in range(rng.randint(1, 4))) + ". "
@@ -269,16 +269,33 @@ def trained(sentences: int = 400, rounds: int = 6, seed: int = 7) -> np.ndarray:
     return weights
 
 
+def triggers(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Ranges around which candidates lie, in order of start: matches of the shapes, but for those inside a base span of their kind."""
+    mail = {end: start for kind, start, end in base if kind == "email"}
+    out = []
+    if _MAYBE_AT.search(text):
+        for m in _TRIGGERS[0].finditer(text):
+            lo = m.start()
+            if mail.get(m.end(), lo) < lo:
+                continue
+            while lo and text[lo - 1] in _LOCAL:
+                lo -= 1
+            out.append((lo, m.end()))
+    if _DIGIT.search(text):
+        out += [m.span() for t in _TRIGGERS[1:] for m in t.finditer(text)]
+    return sorted(out)
+
+
 def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, base and added spans)."""
     base = base_spans(text)
-    if not _MAYBE.search(text):
+    found = triggers(text, base)
+    if not found:
         return base, base
     taken = [(a, b) for _, a, b in base]
     added: list[tuple[str, int, int]] = []
-    hits = [(max(0, m.start() - REACH), m.end() + REACH) for m in _TRIGGER.finditer(text)]
     merged: list[list[int]] = []
-    for lo, hi in hits:
+    for lo, hi in ((max(0, a - REACH), b + REACH) for a, b in found):
         if merged and lo <= merged[-1][1]:
             merged[-1][1] = max(hi, merged[-1][1])
         else:

@@ -148,6 +148,33 @@ def test_pii_of_a_contact_list():
     assert len(got) == 100 and got == pii.decode(w, weights, 100)
 
 
+def test_pii_forms_alone_and_in_mixed_case():
+    """Each form that the model learns reaches it without another one near, in any case; a sentence that ends after 'at' is none."""
+    weights = pii.trained()
+    mails = [f"john{at}host{dot}com" for at, dot in ((" at ", " dot "), (" [at] ", "."), ("(at)", "."), (" [at] ", " [dot] "))]
+    mails = [f(x) for x in mails for f in (str, str.upper, str.title)] + ["John at Example dot com", "john[AT]host[DOT]com"]
+    cards = [x.join(["4111", "1111", "1111", "1111"]) for x in (".", " - ", "/")]
+    phones = ["(366) 555-9807", "366-555-9807", "366.555.9807"]
+    for kind, forms in (("email", mails), ("card", cards), ("phone", phones), ("ip", ["10 . 0 . 200 . 1"])):
+        for own in forms:
+            assert pii.all_spans(own, weights)[1] == [(kind, 0, len(own))], own
+            assert (kind, 2, 2 + len(own)) in pii.all_spans(f", {own}, é", weights)[1], own
+    assert pii.all_spans("we met at noon. Then the rest sat at home. All was well", weights)[1] == []
+
+
+def test_pii_windows_lose_no_candidate():
+    rng, weights = random.Random(12), pii.trained()
+    for _ in range(60):
+        text = "".join(pii.made_up(rng)[0] for _ in range(3))
+        text = rng.choice([str, str.upper, str.title])(text)
+        base = pii.base_spans(text)
+        w = pii.Window(text, 0, len(text), [(a, b) for _, a, b in base])
+        edges = pii.triggers(text, base)
+        for i, j, _, _ in w.segments:
+            a, b = w.tokens[i][0], w.tokens[j - 1][1]
+            assert any(x - pii.REACH <= a and b <= y + pii.REACH for x, y in edges), text[a:b]
+
+
 # --- LM scoring ---
 
 
