@@ -8,7 +8,8 @@ wastes less than one sequence beyond what its bound demands. In a group:
 * best-fit decreasing gives the first incumbent; if it meets the bound ceil(sum / capacity), it is optimal;
 * otherwise bin completion: around the largest piece left, undominated fillings of the rest of the bin are listed, least waste
   first (a filling is dominated if a piece left fits into its slack, or could replace a smaller one of it);
-  a branch whose waste passes what the incumbent allows is cut. Nodes are bounded, the incumbent stays.
+  a branch whose waste passes what the incumbent allows is cut. Nodes are bounded by ``NODES_A_BIN`` for each bin of the
+  incumbent (``NODES`` at least), fillings of a bin by ``FILLINGS``; the best packing found stays.
 
 Null or empty text is the single id 1. Repeated rows are pieces of their own. Ties among equal lengths go by
 doc_id and piece. A null doc_id is packed like any other. An empty table gives no rows. Extra columns are ignored.
@@ -32,7 +33,7 @@ from .tokens import CACHED, byte_level, kept, specials
 
 CAPACITY, END_ID = 4096, 1
 GROUP_TOKENS, GROUP_ROWS = 16 << 20, 200_000
-NODES, FILLINGS = 3_000, 12
+NODES, NODES_A_BIN, FILLINGS = 3_000, 3, 12
 
 
 #: The tokenizer's own pattern for texts of ASCII and precomposed Latin letters only, lower-cased.
@@ -160,13 +161,15 @@ def fillings(count: list[int], top: int, room: int, most: int) -> list[tuple[int
     return sorted(found, key=lambda c: (found[c], len(c)))
 
 
-def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+def complete(sizes: list[int], capacity: int, nodes: int | None = None) -> list[list[int]]:
     """Bins of indexes: bin completion by depth-first branch and bound, best-fit decreasing as first incumbent."""
     incumbent = best_fit(sizes, capacity)
     total = sum(sizes)
     bound = -(-total // capacity)
     if len(incumbent) <= bound or not sizes:
         return incumbent
+    if nodes is None:
+        nodes = max(NODES, NODES_A_BIN * len(incumbent))
     count = [0] * (capacity + 1)
     for x in sizes:
         count[x] += 1

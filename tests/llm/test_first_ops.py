@@ -168,3 +168,12 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert len(bins) == least_bins(sorted(sizes, reverse=True), 100)
         better += len(bins) < len(packing.best_fit(sizes, 100))
     assert packing.complete([], 100) == []
+
+
+def test_bin_completion_ends_in_a_full_group():
+    rng, sizes = random.Random(1), []
+    while sum(sizes) < packing.GROUP_TOKENS:
+        sizes += [rng.randint(500, 2500) for _ in range(100)]
+    bins = packing.complete(sizes, packing.CAPACITY)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= packing.CAPACITY for b in bins)
+    assert len(bins) < len(packing.best_fit(sizes, packing.CAPACITY))
