@@ -58,9 +58,12 @@ def string_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_places(h: np.ndarray) -> np.ndarray:
-    """For every window of SPAN hashes, the place of the least (of 40 bits), the last of equals."""
+def least_places(h: np.ndarray, most: int = 1 << 24) -> np.ndarray:
+    """For every window of SPAN hashes, the place of the least (of 40 bits), the last of equals. A place has 24 bits, so that longer arrays are cut into overlapping pieces of ``most``."""
     n = len(h)
+    if n > most:
+        step = most - SPAN + 1
+        return np.concatenate([at + least_places(h[at : at + most], most) for at in range(0, n - SPAN + 1, step)])
     key = (h >> np.uint64(24) << np.uint64(24)) | (np.uint64((1 << 24) - 1) - np.arange(n, dtype=np.uint64))
     pad = -n % SPAN
     grid = np.append(key, np.full(pad, ~np.uint64(0))).reshape(-1, SPAN)

@@ -48,3 +48,19 @@ def test_remove_repeats(spark):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
     twice = docs.filter("doc_id = 8").union(docs.filter("doc_id = 8"))
     assert [len(r.kept) for r in suffix_dedup.remove_repeats(twice).collect()] == [0, 0]
+
+
+def test_least_places_in_pieces():
+    h = np.random.default_rng(2).integers(0, 9, 3000).astype(np.uint64) << np.uint64(40)
+    want = [max(i + k for k in range(suffix_dedup.SPAN) if h[i + k] == h[i : i + suffix_dedup.SPAN].min()) for i in range(len(h) - suffix_dedup.SPAN + 1)]
+    for most in (suffix_dedup.SPAN, 170, 400, 3000, 1 << 24):
+        assert list(suffix_dedup.least_places(h, most)) == want
+
+
+def test_repeat_beyond_16_mib(spark):
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 123, (1 << 24) + 5000).astype(np.uint8).tobytes().decode()
+    low = (1 << 24) + 1000
+    docs = spark.createDataFrame([(0, text), (1, "A" * 50 + text[low : low + 700] + "B" * 50)], "doc_id long, text string")
+    got = {r.doc_id: [(s.lo, s.hi) for s in r.spans] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {0: [(low, low + 700)], 1: [(50, 750)]}
