@@ -16,7 +16,8 @@ shingles, those of frequency one meet nothing; by the others each document goes
   R-tree without a limit. Shards over ``SHARD`` sets are dealt out in pairs of blocks.
 
 Surviving pairs are verified in every round, and all verified links make the components. Nothing is capped: what the first rounds leave
-out, the last finds. Equal sets are one node from the start (identified by a 64-bit sum over the set), so copies cost one node.
+out, the last finds. A link lies inside a component, so links are counted there afterwards, over all pairs of whole sets, in pairs of
+blocks of about ``BLOCK_BYTES``. Equal sets are one node from the start (identified by a 64-bit sum over the set), so copies cost one node.
 The main data (leading shingles) move as packed arrays, once.
 
 Null text, or text without words, has no shingles and is linked with nothing: it is its own component. A text of one to four words is
@@ -42,6 +43,7 @@ SIZE, DIMS = 5, 256
 NUM, DEN = 3, 4  # the threshold 0.75
 SHARED = 4  # l
 SMALL, SHARD, NEAREST = 8, 8_192, 2
+BLOCK_BYTES = 4 << 20
 #: Document frequencies from which a level begins; shingles below the first are not sent.
 LEVELS = (2, 9, 65, 513, 4097, 32_769)
 LEAST_BITS, MOST_BITS = 16, 27
@@ -426,8 +428,43 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (sets linked with the row's own, over the links verified) of every row of docs."""
+def degrees(labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, n_links): with how many other sets each labelled set is linked, counted over all pairs of its component."""
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        sig, block = rows["sig"].to_numpy(), rows["block"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
+        inner = np.flatnonzero(block == y)
+        every = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in inner)])  # a block may be empty
+        order = np.argsort(every, kind="stable")
+        every, home = every[order], np.repeat(np.arange(len(inner)), size[inner])[order]
+        n = np.zeros(len(sig), np.int64)
+        for i in np.flatnonzero(block == x) if len(inner) else ():
+            lo = np.searchsorted(every, sets[i], "left")
+            many = np.searchsorted(every, sets[i], "right") - lo
+            at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            both = np.bincount(home[at], minlength=len(inner))
+            near = inner[DEN * both >= NUM * (size[inner] + size[i] - both)]
+            near = near[near != i]
+            n[i] += len(near)
+            if x != y:
+                n[near] += 1
+        return pd.DataFrame({"sig": sig, "n": n})
+
+    own = labels.withColumnRenamed("node", "sig").join(sets, "sig")
+    total = own.groupBy("label").agg(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES).cast("int").alias("parts"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    bins = max(1, -(-int(total.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // BLOCK_BYTES))
+    own = own.join(total.select("label", "parts"), "label")
+    own = own.withColumns({"block": F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    # small components share a task
+    own = own.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other"), "large": F.col("parts") > 1, "part": F.when(F.col("parts") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bins)))})
+    return own.select("large", "part", "x", "y", "block", "sig", "shingles").groupBy("large", "part", "x", "y").applyInPandas(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame, count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other sets linked with the row's own; null unless ``count``) of every row of docs."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -471,7 +508,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-    return _told(rows, nodes, (links, labels))
+    return _told(rows, nodes, (degrees(labels, sets) if count else links.select(F.col("a").alias("sig"), F.lit(None).cast("long").alias("n_links")).limit(0), labels))
 
 
 def _told(rows: DataFrame, nodes: DataFrame, found: tuple[DataFrame, DataFrame] | None) -> DataFrame:
@@ -479,13 +516,12 @@ def _told(rows: DataFrame, nodes: DataFrame, found: tuple[DataFrame, DataFrame]
     if found is None:
         classes = nodes.select("sig", "size", F.col("low").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     else:
-        links, labels = found
-        degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count("*").alias("n_links"))
-        own = nodes.select("sig", "low", "size").join(labels.withColumnRenamed("node", "sig"), "sig").join(degree, "sig")
+        degree, labels = found
+        own = nodes.select("sig", "low", "size").join(labels.withColumnRenamed("node", "sig"), "sig").join(degree, "sig", "left")
         best = own.groupBy("label").agg(F.min("low").alias("component_id"))
         linked = own.join(best, "label").select("sig", "component_id", "n_links")
         classes = nodes.select("sig", "size", "low").join(linked, "sig", "left")
-        classes = classes.select("sig", "size", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        classes = classes.select("sig", "size", F.coalesce("component_id", "low").alias("component_id"), F.when(F.col("component_id").isNull(), 0).otherwise(F.col("n_links")).alias("n_links"))
     classes = written(spark, classes, "classes")
     out = hot_lookup(rows.filter("n > 0").drop("point"), "sig", classes, ["component_id", "n_links"], "doc_id")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
@@ -494,7 +530,7 @@ def _told(rows: DataFrame, nodes: DataFrame, found: tuple[DataFrame, DataFrame]
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each component: its smallest doc_id."""
-    gone = jaccard_classes(docs).filter("doc_id <> component_id").select("doc_id")
+    gone = jaccard_classes(docs, count=False).filter("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

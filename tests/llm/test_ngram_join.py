@@ -63,6 +63,20 @@ def test_classes(spark, seed, shard, monkeypatch):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want})
 
 
+@pytest.mark.parametrize("block", [4 << 20, 3000])
+def test_links_of_near_copies(spark, block, monkeypatch):
+    """All links between different sets are counted, those inside a component too."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(60)] + ["a b c d e f", "other words"] + corpus(3)[11:60]
+    texts.append(texts[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) if len(t.split()) >= 5 else frozenset([t]) for t in texts]
+    near = lambda a, b: a != b and 100 * len(a & b) >= 75 * len(a | b)
+    want = [sum(near(a, b) for b in set(sets)) for a in sets]
+    assert {r.doc_id: r.n_links for r in ngram_join.jaccard_classes(docs).collect()} == dict(enumerate(want)) and want[0] == 59
+
+
 def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, None)], "doc_id long, text string")
     assert ngram_join.jaccard_classes(docs.limit(0)).count() == 0
