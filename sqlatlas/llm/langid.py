@@ -2,7 +2,7 @@
 
 A word's score in a language is the mean log-probability of its byte 2-, 3- and 4-grams and of the word itself, hashed
 into ``SLOTS`` slots per kind, learned from labelled rows. A word's script (from the lead bytes of its letters) leaves
-as candidates the languages seen with that script, or all if none was. Viterbi with a switching penalty then
+as candidates the languages of whose words over 0.1 % have that script, or all if there is none. Viterbi with a switching penalty then
 labels the words of a text, for all texts of a batch at once. The predicted language is that of
 most letters; the score is its share of the letters.
 
@@ -87,7 +87,7 @@ class Model:
         table = counts.reshape(KINDS, SLOTS, len(langs)).astype(np.float64)
         table = np.log((table + 0.1) / (table.sum(1, keepdims=True) + 0.1 * SLOTS))
         self.table = (table - table.max(2, keepdims=True, initial=-np.inf)).reshape(KINDS * SLOTS, len(langs)).astype(np.float32)
-        seen = scripts > 0.001 * scripts.sum(1, keepdims=True)
+        seen = scripts > 0.001 * scripts.sum(0, keepdims=True)  # of the language's words, so that a rare language keeps its script
         seen &= scripts > 0
         seen[~seen.any(1)] = True
         self.mask = np.where(seen, 0, -1e4).astype(np.float32)

@@ -62,6 +62,14 @@ def test_scripts_narrow_candidates(spark):
     assert [r.lang_pred for r in got][1:] == ["ru", "en"]
 
 
+def test_rare_language_keeps_its_script():
+    counts, scripts = np.ones((langid.KINDS * langid.SLOTS, 3)), np.zeros((langid.SCRIPTS, 3))
+    scripts[0] = [1_000_000, 500, 3]  # Latin: a hot and a rare language; a few stray words of the third
+    scripts[2, 2] = 100_000
+    mask = langid.Model(["hot", "rare", "ru"], counts, scripts).mask
+    assert list(mask[0]) == [0, 0, -10_000] and list(mask[2]) == [-10_000, -10_000, 0]
+
+
 # --- PII ---
 
 PATTERNS = {
