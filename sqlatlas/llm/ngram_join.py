@@ -33,10 +33,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, Words, blocks, hot_lookup, mix, slices_of, table, written
+from .common import NOT_BLANK, Words, blocks, hot_lookup, mix, slices_of, table, text_of, written
 from .components import components
 
 SIZE, DIMS = 5, 256
@@ -101,11 +101,15 @@ def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield from shingle_sets(texts[lo:hi])
 
 
+def text_sha() -> Column:
+    return F.sha2(text_of("text"), 256)
+
+
 def profiles(docs: DataFrame, bucket_bits: int) -> DataFrame:
-    """doc_id, n, sig, point of every row; and rows (bucket, prints): 32 bits of every shingle hash, by its first bits, packed."""
+    """doc_id, sha (of the text), n, sig, point of every row; and rows (bucket, prints): 32 bits of every shingle hash, by its first bits, packed."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    names = ["doc_id", "n", "sig", "point", "bucket", "prints"]
+    names = ["doc_id", "sha", "n", "sig", "point", "bucket", "prints"]
     id_type = docs.schema["doc_id"].dataType
     id_arrow = to_arrow_type(id_type)
 
@@ -119,7 +123,7 @@ def profiles(docs: DataFrame, bucket_bits: int) -> DataFrame:
             cuts = np.searchsorted(h, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)) if bucket_bits else np.zeros(1, np.int64)
             parts = [(k, prints[x:y].tobytes()) for k, (x, y) in enumerate(zip(cuts, [*cuts[1:], len(h)], strict=True)) if y > x]
             m = len(parts)
-            return pa.RecordBatch.from_arrays([pa.nulls(m, id_arrow), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, id_arrow), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names)
 
         for batch in slices_of(batches):
             n, sig, points = [], [], []
@@ -131,14 +135,14 @@ def profiles(docs: DataFrame, bucket_bits: int) -> DataFrame:
                     known.add(sig[-1])
                     held.append(s)
             m = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(points, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(points, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
             if sum(map(len, held)) > 1_500_000:
                 yield flush()
                 held.clear()
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, sig long, point binary, bucket int, prints binary")
+    return docs.select("doc_id", "text", text_sha().alias("sha")).mapInArrow(run, f"doc_id {id_type.simpleString()}, sha string, n long, sig long, point binary, bucket int, prints binary")
 
 
 def frequent(made: DataFrame, bucket_bits: int) -> DataFrame:
@@ -463,15 +467,24 @@ def degrees(labels: DataFrame, sets: DataFrame) -> DataFrame:
     return own.select("large", "part", "x", "y", "block", "sig", "shingles").groupBy("large", "part", "x", "y").applyInPandas(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n_links"))
 
 
-def jaccard_classes(docs: DataFrame, count: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (other sets linked with the row's own; null unless ``count``) of every row of docs."""
+def jaccard_classes(docs: DataFrame, count: bool = True, told: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other sets linked with the row's own; null unless ``count``) of every row of docs.
+
+    told: also sha (of the text), kept (whether the row is its component's first by doc_id, then sha).
+    """
+    out = _classes(docs, count)
+    return out if told else out.drop("sha", "kept")
+
+
+def _classes(docs: DataFrame, count: bool) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bucket_bits = min(30, max(0, (size // 6 // PRINTS_A_BUCKET).bit_length()))
     made = written(spark, profiles(docs, bucket_bits), "profiles")
-    rows = made.filter("bucket is null").select("doc_id", "n", "sig", "point")
-    nodes = written(spark, rows.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("doc_id").alias("low"), F.count("*").alias("size")), "nodes")
+    rows = made.filter("bucket is null").select("doc_id", "sha", "n", "sig", "point")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("first")
+    nodes = written(spark, rows.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("point").alias("point"), first, F.count("*").alias("size")), "nodes")
     found = written(spark, frequent(made, bucket_bits), "frequent")
     many = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(MOST_BITS, max(LEAST_BITS, (4 * many).bit_length()))
@@ -495,8 +508,8 @@ def jaccard_classes(docs: DataFrame, count: bool = True) -> DataFrame:
     tried = close
     for nearest in (NEAREST, None):
         named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        open_ = named.groupBy("shard").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shard", "m")
-        left = named.join(open_, "shard").join(nodes.select("sig", "point"), "sig")
+        open_ = written(spark, named.groupBy("shard").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shard", "m", F.col("m").alias("size")), "open")
+        left = hot_lookup(named, "shard", open_, ["m"], "sig").filter("m is not null").join(nodes.select("sig", "point"), "sig")
         parts = F.ceil(F.col("m") / SHARD).cast("int")
         left = left.withColumns({"block": F.pmod(F.xxhash64("sig"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
         left = left.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("shard", "x", "y", "block", "sig", "n", "point", "label")
@@ -512,26 +525,41 @@ def jaccard_classes(docs: DataFrame, count: bool = True) -> DataFrame:
 
 
 def _told(rows: DataFrame, nodes: DataFrame, found: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """Adds to each row its class: component_id, n_links, and kept (the sha of the component's first row; whether the row is such a one)."""
     spark = rows.sparkSession
     if found is None:
-        classes = nodes.select("sig", "size", F.col("low").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        classes = nodes.select("sig", "size", "first", F.lit(0).cast("long").alias("n_links"))
     else:
         degree, labels = found
-        own = nodes.select("sig", "low", "size").join(labels.withColumnRenamed("node", "sig"), "sig").join(degree, "sig", "left")
-        best = own.groupBy("label").agg(F.min("low").alias("component_id"))
-        linked = own.join(best, "label").select("sig", "component_id", "n_links")
-        classes = nodes.select("sig", "size", "low").join(linked, "sig", "left")
-        classes = classes.select("sig", "size", F.coalesce("component_id", "low").alias("component_id"), F.when(F.col("component_id").isNull(), 0).otherwise(F.col("n_links")).alias("n_links"))
-    classes = written(spark, classes, "classes")
-    out = hot_lookup(rows.filter("n > 0").drop("point"), "sig", classes, ["component_id", "n_links"], "doc_id")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+        own = nodes.select("sig", "first", "size").join(labels.withColumnRenamed("node", "sig"), "sig").join(degree, "sig", "left")
+        best = own.groupBy("label").agg(F.min("first").alias("best"))
+        linked = own.join(best, "label").select("sig", "best", "n_links")
+        classes = nodes.select("sig", "size", "first").join(linked, "sig", "left")
+        classes = classes.select("sig", "size", F.coalesce("best", "first").alias("first"), F.when(F.col("best").isNull(), 0).otherwise(F.col("n_links")).alias("n_links"))
+    classes = written(spark, classes.select("sig", "size", "n_links", F.col("first.doc_id").alias("component_id"), F.col("first.sha").alias("first_sha")), "classes")
+    out = hot_lookup(rows.filter("n > 0").drop("point"), "sig", classes, ["component_id", "n_links", "first_sha"], "doc_id")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sha") == F.col("first_sha"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "sha", kept.alias("kept"))
+    return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "sha", F.lit(True).alias("kept")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one of each component: its smallest doc_id."""
-    gone = jaccard_classes(docs, count=False).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that stay, exactly one of each component: its smallest doc_id (nulls last), of equal ones the least SHA-256 of the text.
+
+    A row is known by doc_id and text, so ids may be null or repeat. Of rows that agree in both, one stays. Rows without words are linked with nothing
+    and all stay.
+    """
+    told = jaccard_classes(docs, count=False, told=True)
+    gone = told.filter(~F.col("kept")).select(_row_key(F.col("sha")).alias("__row")).distinct()
+    wordless = ~text_of("text").rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.withColumn("__row", F.when(wordless, F.concat(F.lit("="), F.monotonically_increasing_id().cast("string"))).otherwise(_row_key(text_sha())))
+    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).filter("__rank = 1")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
+
+
+def _row_key(sha: Column) -> Column:
+    """A name of (doc_id, text): a null id has no colon."""
+    return F.concat_ws(":", sha, F.col("doc_id").cast("string"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

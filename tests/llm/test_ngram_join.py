@@ -1,5 +1,6 @@
 """The Jaccard join against brute force over all pairs."""
 
+import hashlib
 import random
 import re
 
@@ -84,6 +85,17 @@ def test_empty_and_repeated(spark):
     assert got == [("3", 2, 3), ("3", 2, 3), ("9", 0, 9), ("None", 2, 3)]
 
 
+def test_one_row_of_each_component(spark):
+    """Rows are known by id and text: null and repeated ids lose nothing that is unique, and no copy stays."""
+    a, b, near = " ".join(f"a{i}" for i in range(60)), "some other words that stand alone here", " ".join(f"a{i}" for i in range(61))
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, near), (None, "a null id of its own text"), (7, b), (7, b), (9, near), (9, near), (8, None), (8, None), (8, " "), (1, near), (None, "a null id of its own text")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, sha string, kept int").repartition(4)
+    got = ngram_join.one_of_each(docs)
+    first = min(a, near, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = [(1, first), (5, b), (None, "a null id of its own text"), (8, None), (8, None), (8, " ")]
+    assert got.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_tree_loses_nothing():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 60, 500)

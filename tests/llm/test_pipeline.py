@@ -27,6 +27,17 @@ def fixture(folder):
     return texts, [(1, item)]
 
 
+def test_ids_that_repeat_or_lack(spark, tmp_path):
+    """Every unique text stays under its own row, whatever its id; of copies one row stays."""
+    texts = [" ".join(f"{w}{k}" for w in EN) for k in range(6)]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (None, texts[0]), (None, texts[2]), (None, texts[3]), (7, texts[4]), (7, texts[4]), (7, texts[5])]
+    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
+    pq.write_table(pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "lang": ["en"] * 9, "source": ["s"] * 9, "n_chars": [len(t) for _, t in rows]}, kinds), f"{tmp_path}/documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([1], pa.int64()), "text": ["nothing of this is in any document"]}), f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, [1, 5, None, None, 7, 7]))
+
+
 def test_pipeline(spark, tmp_path):
     texts, items = fixture(tmp_path)
     kept = [i for i, t in enumerate(texts) if re.search(r"[^\W\d_]", t or "")]
