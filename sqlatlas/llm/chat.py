@@ -10,17 +10,21 @@ so a block opens once and every turn inside it ends with ``</turn>``. Inside tex
 
 Turns sort by turn, role, text (nulls first), so ties and repeated rows have a defined order; repeated rows are turns of
 their own. Null text or role is empty. Rows with a null conv_id make one conversation. An empty table gives no rows. Extra columns
-are ignored. One output row is one conversation, so its turns meet in one task; the aggregate holds that conversation only.
+are ignored. One output row is one conversation, so its turns meet in one task; one shuffle by conv_id serves both aggregates and the window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_of
 
 END, MARK = "</turn>", "### "
+#: Code points that a span is cut from.
+CHUNK = 1024
 
 
 def escaped(text: Column) -> Column:
@@ -40,55 +44,58 @@ def unescaped(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")
 
 
-def formatted(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans array<struct<lo, hi>> (code points from 0, hi exclusive)."""
-    role = F.replace(escaped(text_of("role")), F.lit(":"), F.lit("\\c"))
-    rows = turns.select("conv_id", "turn", role.alias("role"), escaped(text_of("text")).alias("text"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once: the optimiser does not copy an array into the lambdas that index it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def before(i: Column) -> Column:
-        return F.get("turns", i - 1)["role"]
 
-    def opens(x: Column, i: Column) -> Column:
-        head = F.concat(F.lit(MARK), x["role"], F.lit(": "))
-        return F.when(i == 0, head).when(before(i) != x["role"], F.concat(F.lit("\n"), head)).otherwise("")
+def formatted(turns: DataFrame) -> DataFrame:
+    """conv_id, formatted, loss_spans array<struct<lo, hi>> (code points from 0, hi exclusive).
 
-    parts = F.transform("turns", lambda x, i: F.struct(opens(x, i).alias("head"), x["role"].alias("role"), x["text"].alias("text")))
-    convs = convs.withColumn("parts", parts)
-    text = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["text"], F.lit(END))), ""), F.lit("\n"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)").alias("spans"))
+    Time is linear in a conversation's turns: each turn meets only the one before it, and places are a running sum.
+    """
+    rows = turns.select("conv_id", "turn", text_of("role").alias("role"), text_of("text").alias("text"))
+    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), F.transform("turns", lambda t: t["role"])), 1, F.size("turns"))
 
-    def step(acc: Column, p: Column) -> Column:
-        lo = acc["at"] + F.length(p["head"])
-        hi = lo + F.length(p["text"])
-        span = F.when(p["role"] == "assistant", F.array(F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi")))).otherwise(F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)"))
-        return F.struct((hi + len(END)).cast("long").alias("at"), F.concat(acc["spans"], span).alias("spans"))
+    def part(t: Column, before: Column) -> Column:
+        head = F.concat(F.lit(MARK), F.replace(escaped(t["role"]), F.lit(":"), F.lit("\\c")), F.lit(": "))
+        head = F.when(before.isNull(), head).when(before != t["role"], F.concat(F.lit("\n"), head)).otherwise("")
+        return F.struct(head.alias("head"), t["role"].alias("role"), escaped(t["text"]).alias("text"))
 
-    return convs.select("conv_id", text.alias("formatted"), F.aggregate("parts", start, step, lambda a: a["spans"]).alias("loss_spans"))
+    # a block opens where the role changes; the others of its turns merge into it
+    parts = convs.select("conv_id", F.posexplode(F.zip_with("turns", before, part)).alias("k", "p"))
+    piece = F.concat("p.head", "p.text", F.lit(END))
+    upto = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hi = F.sum(F.length(piece).cast("long")).over(upto) - len(END)
+    told = parts.select("conv_id", F.struct("k", piece.alias("piece"), F.col("p.role").alias("role"), (hi - F.length("p.text")).alias("lo"), hi.alias("hi")).alias("t"))
+    chats = told.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["lo"].alias("lo"), t["hi"].alias("hi")))
+    return chats.select("conv_id", F.concat(F.array_join(F.transform("turns", lambda t: t["piece"]), ""), F.lit("\n")).alias("formatted"), spans.alias("loss_spans"))
 
 
 def parsed(chats: DataFrame) -> DataFrame:
-    """Reads formatted conversations back: adds turns array<struct<role, text>> and loss_text."""
+    """Reads formatted conversations back: adds turns array<struct<role, text>> and loss_text (what the spans cover)."""
+
+    def block(texts: Column) -> Column:
+        """The turns of a block, from its texts; the first has the role before it."""
+        return let(F.substring_index(F.get(texts, F.lit(0)), ": ", 1), lambda role: let(unescaped(role), lambda plain: F.transform(texts, lambda x, i: F.struct(plain.alias("role"), unescaped(F.when(i == 0, F.substring(x, F.length(role) + 3, F.length(x))).otherwise(x)).alias("text")))))
+
     # block heads can only follow an end mark and a newline, since texts hold no '###'
-    pieces = F.slice(F.split("formatted", END), 1, F.size(F.split("formatted", END)) - 1)
-
-    def turn(x: Column) -> Column:
-        head = x.startswith(MARK) | x.startswith("\n" + MARK)
-        inner = F.substring(x, F.when(x.startswith(MARK), len(MARK) + 1).otherwise(len(MARK) + 2), F.length(x))
-        cut = F.instr(inner, F.lit(": "))
-        return F.struct(
-            head.alias("head"),
-            F.when(head, unescaped(F.substring(inner, F.lit(1), cut - 1))).alias("role"),
-            unescaped(F.when(head, F.substring(inner, cut + 2, F.length(inner))).otherwise(x)).alias("text"),
-        )
-
-    chats = chats.withColumn("__t", F.transform(pieces, turn))
-    start = F.struct(F.lit("").alias("role"), F.expr("cast(array() as array<string>)").alias("roles"))
-    roles = F.aggregate("__t", start, lambda a, x: F.struct(F.coalesce(x["role"], a["role"]).alias("role"), F.concat(a["roles"], F.array(F.coalesce(x["role"], a["role"]))).alias("roles")), lambda a: a["roles"])
-    chats = chats.withColumn("__r", roles)
-    chats = chats.withColumn("turns", F.transform("__t", lambda x, i: F.struct(F.get("__r", i).alias("role"), x["text"].alias("text"))))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), "")
-    return chats.withColumn("loss_text", loss).drop("__t", "__r")
+    body = F.substring(F.col("formatted"), F.lit(len(MARK) + 1), F.length("formatted") - (len(MARK) + len(END) + 1))
+    turns = F.flatten(F.transform(F.split(body, f"{END}\n{MARK}"), lambda b: let(F.split(b, END), block)))
+
+    def covered(chunks: Column) -> Column:
+        """Each span from the chunks that hold it, so that a long conversation is not passed once a span."""
+
+        def cut(s: Column) -> Column:
+            first, last = F.floor(s["lo"] / CHUNK).cast("int"), F.floor(s["hi"] / CHUNK).cast("int")
+            return unescaped(F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), (s["lo"] % CHUNK + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))
+
+        return F.array_join(F.transform("loss_spans", cut), "")
+
+    loss = let(F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), covered)
+    return chats.withColumns({"turns": turns, "loss_text": loss})
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -57,13 +58,27 @@ def test_chat_round_trip(spark):
     for c, t, r, x, _ in rows:
         want[c].append((t if t is not None else -1, r or "", x or ""))
     for r in chat.parsed(chat.formatted(df)).collect():
-        turns = [(role, text) for _, role, text in sorted(want[r.conv_id], key=lambda z: (z[0], z[1].replace("\\", "\\\\").replace("###", "\\h").replace(":", "\\c"), z[2]))]
-        assert sorted((t.role, t.text) for t in r.turns) == sorted(turns) and [t.role for t in r.turns] == [a for a, _ in turns]
+        turns = [(role, text) for _, role, text in sorted(want[r.conv_id], key=lambda z: (z[0], z[1].encode(), z[2].encode()))]
+        assert [(t.role, t.text) for t in r.turns] == turns
         assert r.loss_text == "".join(t.text for t in r.turns if t.role == "assistant")
         assert len(re.findall(r"(?:^|\n)### ", r.formatted)) == sum(1 for k, _ in itertools.groupby(turns, key=lambda z: z[0]))
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_chat_ties_and_long_conversations(spark):
+    """Rows of one turn and role sort by their raw texts; time is linear in turns."""
+    texts = ["=", "</turn>", "###", "#", "\\", "[", "a", "A", ""]
+    rows = [(1, 0, "user", t) for t in texts] + [(2, i, "assistant" if i % 2 else "user", f"text {i} é") for i in range(50_000)] + [(3, i, "assistant", "same role") for i in range(20_000)] + [(4, 0, "assistant", "é" * 5000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.perf_counter()
+    got = {r.conv_id: r for r in chat.parsed(chat.formatted(df)).collect()}
+    assert time.perf_counter() - began < 60
+    assert [t.text for t in got[1].turns] == sorted(texts)
+    assert [t.text for t in got[2].turns] == [r[3] for r in rows if r[0] == 2]
+    assert got[2].loss_text == "".join(r[3] for r in rows if r[0] == 2 and r[2] == "assistant")
+    assert got[3].loss_text == "same role" * 20_000 and len(got[3].turns) == 20_000 and got[4].loss_text == "é" * 5000
+
+
 def brute_overlap(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hit, named = set(), set()
