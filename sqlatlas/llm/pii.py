@@ -30,11 +30,13 @@ from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS, REACH = 24, 60
+MOST_DIGITS = 40  # characters of the longest ip, card or phone shape
 
 # fixed values: the base patterns of the contract
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# a match begins and ends with whole runs of digits, so runs are taken whole and once
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -66,13 +68,19 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _byte(part: str) -> bool:
+    """Whether digits (of any number of leading zeros) are at most 255."""
+    own = part.lstrip("0")
+    return len(own) < 4 and int(own or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in order of start, then of kind."""
     out: list[tuple[str, int, int]] = []
     if "@" in text:
         out += [("email", a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(_byte, m[0].split(".")))]
         out += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -101,6 +109,11 @@ _CUES = {
 _FEATURES = 13
 
 
+def _goes_on(beside: str) -> bool:
+    """Whether what stands beside a segment (nearest character first) continues it."""
+    return beside[:1].isalnum() or (beside[:1] in ("-", ".", "/", "_", "+") and beside[1:].isalnum())
+
+
 def features(text: str, lo: int, hi: int, kind: str, before: set[str]) -> np.ndarray:
     """Of the whole segment text[lo:hi] as one entity of this kind."""
     own = text[lo:hi].lower()
@@ -115,7 +128,7 @@ def features(text: str, lo: int, hi: int, kind: str, before: set[str]) -> np.nda
     f[6] = kind == "card" and not f[5]
     f[7] = kind == "ip" and all(int(x) <= 255 for x in re.findall("[0-9]+", own)[:8])
     f[8] = kind == "phone" and ("(" in own or own[:1] == "+" or own.count("-") >= 2 or own.count(".") == 2)
-    f[9] = (lo > 0 and text[lo - 1].isalnum()) or (hi < len(text) and text[hi].isalnum())
+    f[9] = _goes_on(text[max(0, lo - 2) : lo][::-1]) or _goes_on(text[hi : hi + 2])
     f[10] = kind == "email" and bool(re.search(r"[\[({] ?at|@", own))
     f[11] = kind == "phone" and own.isdigit()
     f[12] = kind == "email" and not f[10] and ". " in own  # a sentence that ends after "at"
@@ -142,15 +155,26 @@ class Window:
         self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
         self.segments: list[tuple[int, int, int, np.ndarray]] = []
         starts, ends = disjoint(taken)
+        words = [text[a:b].lower() for a, b in self.tokens]
+        ats = [i for i, w in enumerate(words) if w in ("@", "at")]
         for i, (a, _) in enumerate(self.tokens):
-            before = {text[x:y].lower() for x, y in self.tokens[max(0, i - 4) : i]}
+            letters, at = words[i].isalpha(), words[i] in ("@", "at")
+            before, next_at = None, bisect_left(ats, i)
             for j in range(i + 2, min(len(self.tokens), i + MOST_TOKENS) + 1):
+                own = words[j - 1]
+                letters, at = letters or own.isalpha(), at or own in ("@", "at")
+                if not own[-1].isalnum():  # every shape ends with a letter or a digit
+                    continue
                 b = self.tokens[j - 1][1]
+                if b - a > MOST_DIGITS and not at and (next_at == len(ats) or ats[next_at] >= i + MOST_TOKENS):
+                    break
                 last = bisect_left(starts, b) - 1
                 if last >= 0 and a < ends[last]:
                     break
                 for k, kind in enumerate(KINDS):
-                    if _SHAPES[kind].fullmatch(text, a, b):
+                    if (at if kind == "email" else not letters and b - a <= MOST_DIGITS) and _SHAPES[kind].fullmatch(text, a, b):
+                        if before is None:
+                            before = set(words[max(0, i - 4) : i])
                         self.segments.append((i, j, k, features(text, a, b, kind, before)))
 
 
@@ -190,7 +214,8 @@ def _decode_all(n: int, by_end: dict[int, list]) -> list[tuple[int, int, int]]:
     for j in range(1, n + 1):
         best[j] = best[j - 1]
         for i, k, s in by_end.get(j, ()):
-            if best[i] + s > best[j]:
+            # of equal ones, the longest: the last end, then the first start
+            if best[i] + s > best[j] or (s > 0 and back[j] is None and best[i] + s == best[j]):
                 best[j], back[j] = best[i] + s, (i, k)
     out, j = [], n
     while j:
@@ -238,9 +263,9 @@ def made_up(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
             d += next(c for c in "0123456789" if luhn(d + c))
             own = rng.choice([".", " - ", "/"]).join(d[i : i + 4] for i in range(0, 16, 4))
         elif kind == "phone":
-            own = rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(num(3), num(3), num(4))
+            own = rng.choice([rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(num(3), num(3), num(4)), f"00{num(2)} {num(3)} {num(6)}"])
         else:
-            own = rng.choice([num(10), num(11), f"{num(4)} {num(4)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(3)}, {num(3)}, {num(4)}", f"{num(4)} {num(4)} {num(4)}", f"{word()} at {word()}", f"{word()} at {word()}. {word().title()}", f"300 . {num(3)} . 999 . 1", ".".join((num(4), num(4), num(4), "9" + num(4)))])
+            own = rng.choice([num(10), num(11), f"{num(4)} {num(4)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(3)}, {num(3)}, {num(4)}", f"{num(4)} {num(4)} {num(4)}", f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{word()} at {word()}", f"{word()} at {word()}. {word().title()}", f"300 . {num(3)} . 999 . 1", ".".join((num(4), num(4), num(4), "9" + num(4)))])
         if kind != "none":
             spans.append((kind, len(text), len(text) + len(own)))
         text += own + " " + " ".join(word() for _ in range(rng.randint(1, 4))) + ". "
@@ -318,7 +343,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row; the numbers are of base spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every row; the numbers by kind are of base spans, n_spans is of all."""
     held = docs.sparkSession.sparkContext.broadcast(trained() if weights is None else weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,10 +351,10 @@ def find_pii(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             rows = [all_spans(x.as_py() or "", held.value) for x in batch.column("text")]
             numbers = [pa.array([sum(k == kind for k, _, _ in base) for base, _ in rows], pa.int64()) for kind in KINDS]
             shas = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, shas, pa.array([joined(spans) for _, spans in rows], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, shas, pa.array([joined(spans) for _, spans in rows], pa.string()), pa.array([len(spans) for _, spans in rows], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
