@@ -92,6 +92,23 @@ def brute_overlap(text, items):
     return len(words), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)
 
 
+def brute_longest(text, items):
+    """(words, place, item, place in the item) of the longest match with one item; the first by place, then item, then place in it."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words, best = split(text), (0, -1, "", -1)
+    for item, t in items:
+        own = split(t)
+        least = min(10, len(own))
+        for i in range(len(words)):
+            for j in range(len(own)):
+                k = 0
+                while i + k < len(words) and j + k < len(own) and words[i + k] == own[j + k]:
+                    k += 1
+                if k and k >= least and (len(own) >= 10 or j == 0):
+                    best = min(best, (-k, i, str(item), j))
+    return -best[0], best[1], best[2] or None, best[3]
+
+
 @pytest.mark.parametrize("slice_bytes", [1 << 20, 60])
 def test_overlaps(spark, slice_bytes):
     rng = random.Random(1)
@@ -101,8 +118,15 @@ def test_overlaps(spark, slice_bytes):
     texts = [None, "", "!!", "zq", "x" * 400 + " zq"] + [make(rng.randint(1, 40)) + " " + items[rng.randrange(3)][1] + make(rng.randint(0, 9)) for _ in range(30)] + ["q-q " * 30]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items if t != "a,"], "item_id long, text string, doc_id string")
     items = [x for x in items if x[1] != "a,"]
-    got = {r.doc_id: tuple(r)[1:6] for r in decontaminate.overlaps(docs(spark, texts), bench, slice_bytes=slice_bytes).collect()}
+    texts += [f"{items[0][1]} {items[1][1]} {items[0][1]}", "qq " * 25, f"{items[1][1]} {items[1][1]}"]
+    rows = decontaminate.overlaps(docs(spark, texts), bench, slice_bytes=slice_bytes).collect()
+    got = {r.doc_id: tuple(r)[1:6] for r in rows}
     assert got == {i: brute_overlap(t, items) for i, t in enumerate(texts)}
+    assert {r.doc_id: tuple(r)[6:] for r in rows} == {i: brute_longest(t, items) for i, t in enumerate(texts)}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "MOST_TEST_BYTES", 10)
+        with pytest.raises(ValueError, match="test set"):
+            decontaminate.overlaps(docs(spark, texts), bench)
     clean = decontaminate.clean_documents(docs(spark, texts), bench)
     assert sorted(r.doc_id for r in clean.collect()) == [i for i in got if not got[i][4]]
     assert decontaminate.overlaps(docs(spark, texts), bench.limit(0)).filter("contaminated").count() == 0
