@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import hot_lookup, table, text_of, written
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -53,25 +53,16 @@ def exact_classes(docs: DataFrame, salts: int = 64, digest: Callable[[Column], C
     shared = classes.filter("texts > 1").select("digest")
     narrow = base.select("doc_id", "digest", sha256(F.col("body")).alias("text_sha256"))
     if shared.isEmpty():
-        found = lookup(narrow, classes.drop("texts"))
+        found = _looked_up(narrow, classes)
     else:
         apart = base.join(shared, "digest").join(winners, ["digest", "body"])
         apart = apart.select("doc_id", sha256(F.col("body")).alias("text_sha256"), "keep_id", "group_size")
-        found = lookup(narrow.join(shared, "digest", "left_anti"), classes.drop("texts")).unionByName(apart)
+        found = _looked_up(narrow.join(shared, "digest", "left_anti"), classes).unionByName(apart)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def lookup(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """rows with the class of their digest: large classes broadcast, the others joined."""
-    total = classes.agg(F.sum("group_size")).first()[0] or 0
-    bound = max(1000, total // 1000)  # so at most 1000 classes are larger
-    large = classes.filter(F.col("group_size") > bound).select("digest", F.col("keep_id").alias("large_id"), F.col("group_size").alias("large_size"))
-    rows = rows.join(F.broadcast(large), "digest", "left")
-    spread = F.concat_ws("#", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(4096)))
-    rows = rows.withColumn("at", F.when(F.col("large_size").isNull(), F.col("digest")).otherwise(spread))
-    rest = classes.filter(F.col("group_size") <= bound).select(F.col("digest").alias("at"), "keep_id", "group_size")
-    rows = rows.join(rest, "at", "left")
-    return rows.select("doc_id", "text_sha256", F.coalesce("large_id", "keep_id").alias("keep_id"), F.coalesce("large_size", "group_size").alias("group_size"))
+def _looked_up(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return hot_lookup(rows, "digest", classes.withColumn("size", F.col("group_size")), ["keep_id", "group_size"], "doc_id").drop("digest")
 
 
 def drop_copies(docs: DataFrame, salts: int = 64) -> DataFrame:
