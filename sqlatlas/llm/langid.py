@@ -76,8 +76,8 @@ class Block:
 
 
 def _lower(text: str) -> bytes:
-    low = text.lower()
-    return (low if len(low) == len(text) else text).encode()
+    # U+0130 alone would become two characters
+    return text.replace("\u0130", "i").lower().encode()
 
 
 class Model:
