@@ -14,10 +14,14 @@ An empty table gives no rows. A very long piece without blanks is encoded by the
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +31,8 @@ from .common import table
 
 #: Entries of the broadcast table, and of a worker's cache with it: bounds of their memory.
 FREQUENT, CACHED = 50_000, 500_000
-#: Rows and characters of the sample that fills the broadcast table. It decides speed only, no result.
-PRIME_ROWS, PRIME_CHARS = 2_000, 4_096
+#: Rows of the sample that fills the broadcast table. It decides speed only, no result.
+PRIME_ROWS = 2_000
 
 _NEAR_BLANK = re.compile(r" \s|\s ")
 _SINGLE = re.compile(r"(?<!\s) (?!\s)")
@@ -104,9 +108,51 @@ def kept(spec: str, cache: type) -> tuple:
     return _KEPT[key]
 
 
-def specials(tokenizer) -> re.Pattern | None:
-    names = sorted((x.content for x in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-    return re.compile("|".join(map(re.escape, names))) if names else None
+class Specials:
+    """The special strings of a tokenizer, and what all of them begin with (a quick test)."""
+
+    def __init__(self, tokenizer):
+        names = sorted((x.content for x in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.begin = os.path.commonprefix(names)
+        self.pattern = re.compile("|".join(map(re.escape, names))) if names else None
+
+    def within(self, text: str) -> bool:
+        return self.pattern is not None and self.begin in text and bool(self.pattern.search(text))
+
+    def parts(self, text: str) -> list[str]:
+        return self.pattern.split(text) if self.within(text) else [text]
+
+
+def cuts_at_blanks(spec: str) -> bool:
+    """Whether a tokenizer file is byte-level with the usual pattern, so that cutting at single blanks is exact."""
+    told = json.loads(spec)
+    step = told.get("pre_tokenizer") or {}
+    plain = not told.get("normalizer") and not told.get("post_processor") and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in told.get("added_tokens", ()))
+    return plain and (step.get("type"), step.get("add_prefix_space"), step.get("use_regex")) == ("ByteLevel", False, True)
+
+
+def frequent_pieces(docs: DataFrame, rows: int) -> Counter:
+    """Pieces of the whole texts of about ``rows`` rows, drawn by a hash of the id over all of docs, with their numbers.
+
+    The ids come from a scan of that column alone; the texts are read by id, which skips what the file's statistics rule out.
+    """
+    every = max(1, docs.count() // rows)
+    drawn = docs.select("doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(4 * rows)
+    ids = sorted({r.doc_id for r in drawn.collect() if r.doc_id is not None})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                seen.update(x for x in pieces(text.as_py() or "")[1:] if len(x) < 64)
+        most = seen.most_common(FREQUENT)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], ["piece", "n"])
+
+    total: Counter = Counter()
+    if ids:
+        for piece, n in docs.filter(F.col("doc_id").isin(ids)).select("text").mapInArrow(run, "piece string, n long").toLocalIterator():
+            total[piece] += n
+    return total
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
@@ -114,28 +160,29 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    sample = docs.select(F.substring("text", 1, PRIME_CHARS)).limit(PRIME_ROWS).collect()
-    seen = Counter(x for (text,) in sample for x in pieces(text or "")[1:] if len(x) < 64)
     tokenizer = load_tokenizer(spec)
-    special = specials(tokenizer)
-    common = [x for x, _ in seen.most_common(FREQUENT) if not (special and special.search(x))]
+    special, exact = Specials(tokenizer), cuts_at_blanks(spec)
+    seen = frequent_pieces(docs, PRIME_ROWS) if exact else Counter()
+    common = [x for x, _ in sorted(seen.items(), key=lambda p: (-p[1], p[0]))[:FREQUENT] if not special.within(x)]
     encoded = tokenizer.encode_batch([" " + x for x in common], add_special_tokens=False)
-    tiers = spark.sparkContext.broadcast((spec, {x: len(e.ids) for x, e in zip(common, encoded, strict=True)}))
+    tiers = spark.sparkContext.broadcast((spec, exact, "".join(common), np.array([len(x) for x in common], np.uint8).tobytes(), np.array([len(e.ids) for e in encoded], np.uint8).tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec, frequent = tiers.value
+        spec, exact, common, chars, sizes = tiers.value
         tokenizer, lengths = kept(spec, Lengths)
-        special = specials(tokenizer)
-        lengths.update(frequent)
+        special = Specials(tokenizer)
+        if len(lengths) < len(sizes):  # a worker takes the table once
+            ends = list(accumulate(chars))
+            lengths.update(zip((common[e - n : e] for e, n in zip(ends, chars, strict=True)), sizes, strict=True))
         find, whole = lengths.__getitem__, lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids)
         for batch in batches:
             n_bytes, n_tokens = [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 n = 0
-                parts = special.split(text) if special and "<|" in text else [text]
+                parts = special.parts(text) if exact else [text]
                 for part in parts:
-                    cut = pieces(part)
+                    cut = pieces(part) if exact else [part]
                     n += (whole(cut[0]) if cut[0] else 0) + sum(map(find, cut[1:]))
                 n_bytes.append(len(text.encode()))
                 n_tokens.append(n + len(parts) - 1)

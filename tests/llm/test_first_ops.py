@@ -199,20 +199,48 @@ def least_bins(sizes, capacity):
 
 def test_bin_completion_is_optimal_on_small_cases():
     rng = random.Random(5)
-    better = 0
+    better = proven = 0
     for _ in range(150):
         sizes = [rng.randint(1, 60) for _ in range(rng.randint(1, 9))] if rng.random() < 0.5 else [rng.randint(20, 55) for _ in range(10)]
-        bins = packing.complete(sizes, 100, 20_000)
-        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 100 for b in bins)
-        assert len(bins) == least_bins(sorted(sizes, reverse=True), 100)
-        better += len(bins) < len(packing.best_fit(sizes, 100))
-    assert packing.complete([], 100) == []
+        got = packing.complete(sizes, 100, 20_000)
+        assert sorted(i for b in got.bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 100 for b in got.bins)
+        assert len(got.bins) == least_bins(sorted(sizes, reverse=True), 100)
+        better += len(got.bins) < len(packing.best_fit(sizes, 100))
+        proven += got.proven
+    assert packing.complete([], 100) == ([], 0, True)
+    assert proven > 100
+    assert len(packing.complete([7, 6, 6, 4, 4, 3], 10).bins) == 3
+
+
+def test_completion_beats_best_fit_in_a_group(spark):
+    """Pieces of 44, 24, 22 and 10 hundredths of a sequence: best-fit decreasing needs more sequences than completion."""
+    sizes = [1802, 1802, 983, 983, 901, 901, 410, 410] * 12 + [2049, 2000, 1400, 1350, 1300] * 7
+    frame = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    got = packing.packed(frame, 4096).collect()
+    check_places(got, 4096)
+    used = len({r.sequence_id for r in got})
+    assert len(got) == len(sizes) and used < len(packing.best_fit(sizes, 4096)) and used - -(-sum(sizes) // 4096) <= 1
+    assert all(r.nodes > 0 for r in got)
 
 
 def test_bin_completion_ends_in_a_full_group():
     rng, sizes = random.Random(1), []
     while sum(sizes) < packing.GROUP_TOKENS:
         sizes += [rng.randint(500, 2500) for _ in range(100)]
-    bins = packing.complete(sizes, packing.CAPACITY)
+    bins = packing.complete(sizes, packing.CAPACITY).bins
     assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= packing.CAPACITY for b in bins)
     assert len(bins) < len(packing.best_fit(sizes, packing.CAPACITY))
+
+
+def test_other_tokenizers_go_to_the_library(spark):
+    """The shortcuts hold for one way of splitting each; another tokenizer, without special strings or with a normalizer, is called on whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.cuts_at_blanks(open(path).read()) and not packing.splits_alike(open(path).read())
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.splits_alike(open(other).read()) and not tokens.cuts_at_blanks(open(other).read())
+    library = Tokenizer.from_file(other)
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs(spark, AWKWARD), other).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(AWKWARD)}
+    library = Tokenizer.from_file(path)
+    got = packing.tokenized(docs(spark, AWKWARD), path).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(AWKWARD)}
