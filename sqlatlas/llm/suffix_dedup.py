@@ -6,18 +6,20 @@ string belongs to one anchor; neighbouring strings of one anchor share a context
 whose 32-gram occurs once in the corpus hold no repeated string and go no further (a Bloom filter of the repeated ones, so none is
 lost). The other contexts are dealt by their 32-gram; equal contexts of a task are sent once, with a mark.
 
-A shard's contexts are sorted by external induction (``induced``: queues of suffix tuples, spooled to disk beyond a
-bound in memory). Suffixes that agree on 200 bytes then stand together; the common prefix of neighbours is compared by a 64-bit
-hash of those bytes, rather than carried along. Strings in such a run are repeated. Their places go back to their documents, which join by a key.
+A 32-gram of very many occurrences is split exactly, by the distance from a string's start to it and the bytes that all strings at such distances share.
+
+A shard's contexts stream into a scratch and are sorted there by external induction (``induced``: queues of suffix tuples that carry
+common prefixes; text, types, order and prefixes lie on disk beyond a bound in memory), so a shard may be larger than the
+memory. A string is repeated if the common prefix with a neighbour in the order has 200 bytes. Places go back to their documents, which join by a key.
 
 Null text is empty. Texts under 200 bytes keep everything. Repeated rows are documents of their own (and repeat each other). Ties do
 not exist: all occurrences of a repeated string go, the first one too, as judged on the input. An empty table gives no rows. Extra columns
-are ignored. A document's key is a 64-bit hash of doc_id and text.
+are ignored. A document's key is a 128-bit hash of doc_id and text; rows that agree in both share it, and their marks.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _CODE, blocks, mix, slices_of, table, text_of, written
-from .induced import suffix_order
+from . import induced
+from .common import _CODE, blocks, hot_lookup, mix, slices_of, table, text_of, written
 
 WIDTH, GRAM = 200, 32
 SPAN = WIDTH - GRAM + 1  # 32-grams in a string
 SHARD_BYTES, ROWS_A_BUCKET = 4 << 20, 500_000
 LEAST_BITS, MOST_BITS = 20, 30
+#: A 32-gram of more occurrences is hot (so few are that they are broadcast); its strings are split by their distance to it, in ranges of STEP.
+HOT_ROWS, MOST_HOT, STEP = 20_000, 1 << 20, 21
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -45,19 +49,6 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def string_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the WIDTH bytes from each of starts: by the 8-grams that tile them."""
-    h = _CODE[data]
-    for size in (1, 2, 4):
-        h = h[:-size] * np.uint64(0xC2B2AE3D27D4EB4F) + h[size:] * np.uint64(0x165667B19E3779F9)
-        h ^= h >> np.uint64(31)
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(0, WIDTH, 8):
-        out = (out ^ h[starts + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
-
 def least_places(h: np.ndarray, most: int = 1 << 24) -> np.ndarray:
     """For every window of SPAN hashes, the place of the least (of 40 bits), the last of equals. A place has 24 bits, so that longer arrays are cut into overlapping pieces of ``most``."""
     n = len(h)
@@ -74,14 +65,14 @@ def least_places(h: np.ndarray, most: int = 1 << 24) -> np.ndarray:
 
 
 class Contexts:
-    """Contexts of the strings of some texts: gram (hash), doc, first string's start in the text, number of strings; data and at (place in data)."""
+    """Contexts of the strings of some texts: gram (hash), doc, first string's start in the text, number of strings; data, at (place in data) and anchor (likewise)."""
 
     def __init__(self, texts: list[bytes]):
         self.data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         base = np.cumsum(sizes + 1) - sizes - 1
         if len(self.data) < WIDTH or sizes.max() < WIDTH:
-            self.gram, self.doc, self.start, self.many, self.at = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
+            self.gram, self.doc, self.start, self.many, self.at, self.anchor = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(5))
             return
         h = gram_hashes(self.data)
         place = least_places(h)  # by start of the string
@@ -96,7 +87,8 @@ class Contexts:
         doc = np.searchsorted(base, at, "right") - 1
         live = at < stop[doc]
         self.at, self.doc = at[live], doc[live]
-        self.start, self.many, self.gram = self.at - base[self.doc], (end - at)[live], mix(h[place[self.at]])
+        self.anchor = place[self.at]
+        self.start, self.many, self.gram = self.at - base[self.doc], (end - at)[live], mix(h[self.anchor])
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -110,7 +102,7 @@ def _cut(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def repeated_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """(grams binary, n): anchors' 32-grams that occur more than once, packed by bucket."""
+    """(grams, n, often, most): anchors' 32-grams that occur more than once, packed by bucket; their occurrences; those of over HOT_ROWS with their numbers, and the largest number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -139,30 +131,38 @@ def repeated_grams(docs: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         total = np.add.reduceat(n, first)
         many = g[first][total > 1]
-        return pd.DataFrame({"grams": [many.tobytes()], "n": [int(total[total > 1].sum())]})
+        hot = total > HOT_ROWS
+        often = np.stack([g[first][hot], total[hot].astype(np.uint64)], axis=1)
+        return pd.DataFrame({"grams": [many.tobytes()], "n": [int(total[total > 1].sum())], "often": [often.tobytes()], "most": [int(total.max())]})
 
-    return docs.select("text").mapInArrow(run, "bucket int, grams binary, counts binary").groupBy("bucket").applyInPandas(count, "grams binary, n long")
+    return docs.select("text").mapInArrow(run, "bucket int, grams binary, counts binary").groupBy("bucket").applyInPandas(count, "grams binary, n long, often binary, most long")
 
 
 def bloom_filter(packed: DataFrame, bits: int) -> np.ndarray:
-    """A filter of 2**bits bits, two probes, over packed 64-bit numbers; merged in pieces on the executors."""
-    chunk = 1 << 16
+    """A filter of 2**bits bits, two probes, over packed 64-bit numbers: their places are dealt by piece of the filter, and a task makes a piece."""
+    chunk = min(19, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(1 << bits, bool)
         for batch in batches:
             for x in batch.column("grams"):
-                for at in probes(np.frombuffer(x.as_buffer(), np.uint64), bits):
-                    flags[at] = True
-        data = np.packbits(flags)
-        parts = [(k, data[a : a + chunk].tobytes()) for k, a in enumerate(range(0, len(data), chunk))]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["chunk", "bits"])
+                at = np.unique(np.concatenate(probes(np.frombuffer(x.as_buffer(), np.uint64), bits)))
+                home = at >> chunk
+                edge = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(at) else at
+                parts = [(int(home[a]), (at[a:b] & ((1 << chunk) - 1)).astype("<u4").tobytes()) for a, b in zip(edge, [*edge[1:], len(at)], strict=True)] if len(at) else []
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["chunk", "places"])
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "bits": [functools.reduce(np.bitwise_or, (np.frombuffer(x, np.uint8) for x in part["bits"])).tobytes()]})
-
-    rows = packed.select("grams").coalesce(4).mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInPandas(merge, "chunk int, bits binary")
-    return np.frombuffer(b"".join(r["bits"] for r in sorted(rows.collect(), key=lambda r: r["chunk"])), np.uint8)
+        flags = np.zeros(1 << chunk, bool)
+        for x in part["places"]:
+            flags[np.frombuffer(x, "<u4")] = True
+        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "bits": [np.packbits(flags).tobytes()]})
+
+    rows = packed.select("grams").mapInArrow(run, "chunk int, places binary").groupBy("chunk").applyInPandas(merge, "chunk int, bits binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        own = np.frombuffer(r["bits"], np.uint8)
+        out[r["chunk"] * len(own) : (r["chunk"] + 1) * len(own)] = own
+    return out
 
 
 def probes(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,13 +170,39 @@ def probes(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def sent(docs: DataFrame, bloom, bits: int, shards: int) -> DataFrame:
-    """Contexts by shard: keys, starts, strings (packed numbers; a negative key is a mark for equal contexts), sizes and data. Rows of shard -1 hold strings known to be repeated."""
+def name_of(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+def split_hot(gram: np.ndarray, start: np.ndarray, many: np.ndarray, at: np.ndarray, anchor: np.ndarray, hot: np.ndarray, raw: bytes) -> tuple[np.ndarray, ...]:
+    """Contexts (name, row, start, many, at) in which those of a hot 32-gram are split by the distance from a string's start to the anchor.
+
+    Strings whose distances lie in one range of ``STEP`` share the ``WIDTH - STEP + 1`` bytes around the anchor that lie in all of them, and those
+    name the part: equal strings have equal distances, so they still meet, and strings that only share the 32-gram part ways.
+    """
+    is_hot = np.isin(gram, hot) if len(hot) else np.zeros(len(gram), bool)
+    plain = np.flatnonzero(~is_hot)
+    rows, names, starts, sizes, places = [plain], [gram[plain]], [start[plain]], [many[plain]], [at[plain]]
+    for i in np.flatnonzero(is_hot).tolist():
+        far, near = int(anchor[i] - at[i]), int(anchor[i] - at[i] - many[i] + 1)
+        for q in range(near // STEP, far // STEP + 1):
+            lo, hi = int(anchor[i]) - min(far, q * STEP + STEP - 1), int(anchor[i]) - max(near, q * STEP)  # first and last string
+            key = raw[int(anchor[i]) - q * STEP : int(anchor[i]) - q * STEP + WIDTH - STEP + 1]
+            rows.append(np.array([i]))
+            names.append(np.array([name_of(key + bytes([q]))], np.uint64))
+            starts.append(np.array([start[i] + lo - at[i]]))
+            sizes.append(np.array([hi - lo + 1]))
+            places.append(np.array([lo]))
+    return tuple(map(np.concatenate, (names, rows, starts, sizes, places)))
+
+
+def sent(docs: DataFrame, bloom, bits: int, shards: int, hot) -> DataFrame:
+    """Contexts by shard: keys (two numbers each), starts, strings (packed numbers), flags (known to be repeated) and data; equal contexts of a task once. Rows of shard -1 hold strings known to be repeated."""
     names = ["shard", "keys", "starts", "many", "flags", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        kept = bloom.value
+        kept, often = bloom.value, hot.value
 
         def flush() -> pa.RecordBatch:
             gram, key, start, many = (np.concatenate([x[i] for x in held]) for i in range(4))
@@ -192,7 +218,8 @@ def sent(docs: DataFrame, bloom, bits: int, shards: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), *[pa.binary()] * 5), strict=True)], names)
 
         for batch in slices_of(batches):
-            texts, keys = _texts(batch), batch.column("key").to_numpy(zero_copy_only=False)
+            texts = _texts(batch)
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("key1", "key2")], axis=1)
             for lo, hi in blocks(texts, 2 << 20):
                 c = Contexts(texts[lo:hi])
                 if not len(c.gram):
@@ -200,8 +227,9 @@ def sent(docs: DataFrame, bloom, bits: int, shards: int) -> DataFrame:
                 a, b = probes(c.gram, bits)
                 live = np.flatnonzero((kept[a >> 3] >> (7 - (a & 7)) & 1) & (kept[b >> 3] >> (7 - (b & 7)) & 1))
                 raw = c.data.tobytes()
-                data = [raw[p : p + m + WIDTH - 1] for p, m in zip(c.at[live].tolist(), c.many[live].tolist(), strict=True)]
-                held.append((c.gram[live], keys[lo:hi][c.doc[live]], c.start[live], c.many[live], data))
+                gram, row, start, many, at = split_hot(c.gram[live], c.start[live], c.many[live], c.at[live], c.anchor[live], often, raw)
+                data = [raw[p : p + m + WIDTH - 1] for p, m in zip(at.tolist(), many.tolist(), strict=True)]
+                held.append((gram, keys[lo:hi][c.doc[live][row]], start, many, data))
                 size += sum(map(len, data))
                 if size > 24 << 20:
                     yield flush()
@@ -210,67 +238,121 @@ def sent(docs: DataFrame, bloom, bits: int, shards: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("key", "text").mapInArrow(run, "shard int, keys binary, starts binary, many binary, flags binary, data binary")
-
-
-def repeated(contexts: DataFrame) -> DataFrame:
-    """(key, lo, hi): starts lo to hi (exclusive) of repeated strings, from sorted shards."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        key, start, many = (np.concatenate([np.frombuffer(x, np.int64) for x in part[c]]) for c in ("keys", "starts", "many"))
-        flag = np.concatenate([np.frombuffer(x, bool) for x in part["flags"]])
-        raw = np.frombuffer(b"".join(part["data"]), np.uint8)
-        size = many + WIDTH - 1
-        end = np.cumsum(size)
-        # equal contexts of several tasks are sorted once
-        of: dict[bytes, int] = {}
-        whole = raw.tobytes()
-        twin = np.array([of.setdefault(whole[e - s : e], i) for i, (s, e) in enumerate(zip(size.tolist(), end.tolist(), strict=True))], np.int64)
-        count = np.bincount(twin, minlength=len(twin))
-        every = np.bincount(twin, weights=flag, minlength=len(twin)) + count > 1  # all strings of the context are repeated
-        one = np.flatnonzero(twin == np.arange(len(twin)))
-        begin = np.cumsum(size[one] + 1) - size[one] - 1
-        n = int((size[one] + 1).sum())
-        inside = np.arange(n) - np.repeat(begin, size[one] + 1)
-        own = inside < np.repeat(size[one], size[one] + 1)
-        source = np.repeat(end[one] - size[one], size[one] + 1) + inside
-        text = np.ones(n + 1, np.uint16)  # 0 ends the shard, 1 parts contexts, bytes follow
-        text[:-1][own] = raw[source[own]].astype(np.uint16) + 2
-        text[-1] = 0
-        string = inside < np.repeat(many[one], size[one] + 1)  # places where a string starts
-        del inside, source, own
-        order = suffix_order(text, WIDTH)
-        order = order[np.append(string, False)[order]]
-        h = string_hashes((text[:-1] - 1).astype(np.uint8), order)
-        same = h[1:] == h[:-1]
-        hit = np.zeros(n, bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
-        run_of = np.append(0, np.cumsum(~same))
-        full = np.repeat(every[one], size[one] + 1)[order]
-        hit[order[(np.bincount(run_of, weights=full)[run_of] > 0)]] = True
-        hit &= string
-        total = np.append(0, np.cumsum(hit))
-        # back to every context, the equal ones included
-        at = np.zeros(len(twin), np.int64)
-        at[one] = begin
-        at = at[twin]
-        live = np.flatnonzero(total[at + many] > total[at])
-        edge = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
-        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        a, b = np.searchsorted(lo, at[live]), np.searchsorted(lo, (at + many)[live])
-        n_runs = b - a
-        row = np.repeat(live, n_runs)
-        pick = np.repeat(a, n_runs) + np.arange(int(n_runs.sum())) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
-        return pd.DataFrame({"key": key[row], "lo": start[row] + lo[pick] - at[row], "hi": start[row] + hi[pick] - at[row]})
+    return docs.select("key1", "key2", "text").mapInArrow(run, "shard int, keys binary, starts binary, many binary, flags binary, data binary")
+
+
+class Gathered:
+    """The contexts of one shard as they stream in: their bytes go to the scratch, some 60 bytes of each stay in memory."""
+
+    def __init__(self):
+        self.scratch = induced.Scratch()
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.data: list = []
+        self.size = 0
+
+    def add(self, keys: bytes, starts: bytes, many: bytes, flags: bytes, data: bytes) -> None:
+        many = np.frombuffer(many, np.int64)
+        ends = np.cumsum(many + WIDTH - 1)
+        names = np.frombuffer(b"".join(hashlib.blake2b(data[e - m - WIDTH + 1 : e], digest_size=16).digest() for m, e in zip(many.tolist(), ends.tolist(), strict=True)), np.uint64).reshape(-1, 2)
+        self.rows.append((np.frombuffer(keys, np.int64).reshape(-1, 2), np.frombuffer(starts, np.int64), many, np.frombuffer(flags, bool), names, np.full(len(many), len(self.data)), ends - many - WIDTH + 1))
+        self.data.append(self.scratch.put(np.frombuffer(data, np.uint8)))
+        self.size += len(data)
+
+    def marks(self) -> Iterator[pa.RecordBatch]:
+        """(key1, key2, lo, hi): starts lo to hi (exclusive) of repeated strings."""
+        try:
+            yield from self._marks()
+        finally:
+            self.scratch.close()
+
+    def _marks(self) -> Iterator[pa.RecordBatch]:
+        key, start, many, flag, name, block, offset = (np.concatenate([r[k] for r in self.rows]) for k in range(7))
+        # equal contexts of several tasks are sorted once; all strings of such a context are repeated
+        order = np.lexsort((name[:, 1], name[:, 0]))
+        new = np.append(True, (name[order][1:] != name[order][:-1]).any(1))
+        heads = np.flatnonzero(new)
+        copies = np.diff(np.append(heads, len(order)))
+        every = np.logical_or.reduceat(flag[order], heads) | (copies > 1)
+        one = order[heads]
+        by_place = np.lexsort((offset[one], block[one]))  # bytes are read block by block
+        one, every = one[by_place], every[by_place]
+        head_of = np.empty(len(order), np.int64)  # of each context: its number among the different ones
+        head_of[order] = np.argsort(by_place)[np.cumsum(new) - 1]
+        size = many[one] + WIDTH  # with what parts it from the next
+        begin = np.cumsum(size) - size
+        n = int(size.sum())
+        text = self.scratch.array(n + 1, np.uint16)  # 0 ends the shard, 1 parts contexts, bytes follow
+        string = self.scratch.array(n + 1, bool)  # places where a string starts
+        hit = self.scratch.array(n + 1, bool)
+        at = 0
+        while at < len(one):
+            stop = at + max(1, int(np.searchsorted(begin[at:] - begin[at], induced.BLOCK)))
+            stop = min(stop, at + int(np.searchsorted(block[one[at:]], block[one[at]], "right")))
+            raw = self.scratch.get(self.data[block[one[at]]], keep=True)
+            own = np.arange(at, stop)
+            inside = np.arange(int(size[own].sum())) - np.repeat(begin[own] - begin[at], size[own])
+            last = inside == np.repeat(size[own] - 1, size[own])
+            source = np.repeat(offset[one[own]], size[own]) + inside
+            source[last] = 0
+            lo, hi = int(begin[at]), int(begin[at]) + len(inside)
+            text[lo:hi] = np.where(last, 1, raw[source].astype(np.uint16) + 2)
+            string[lo:hi] = inside < np.repeat(many[one[own]], size[own])
+            hit[lo:hi] = np.repeat(every[own], size[own])
+            at = stop
+        suffix, prefix = induced.suffixes(text, WIDTH, self.scratch, 258)
+        for lo, hi in induced.blocks(n + 1):
+            same = np.flatnonzero(np.asarray(prefix[lo:hi]) >= WIDTH) + lo
+            hit[suffix[same]] = True
+            hit[suffix[same - 1]] = True
+        # runs of repeated strings; none crosses the edge of its context
+        los, his = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        before = False
+        for lo, hi in induced.blocks(n + 1):
+            own = np.asarray(hit[lo:hi]) & np.asarray(string[lo:hi])
+            edge = np.diff(own.view(np.int8), prepend=np.int8(before))
+            los.append(np.flatnonzero(edge == 1) + lo)
+            his.append(np.flatnonzero(edge == -1) + lo)
+            before = own[-1]
+        los, his = np.concatenate(los), np.concatenate(his)
+        first = np.searchsorted(los, begin)
+        runs = np.searchsorted(los, begin + size) - first
+        for a in range(0, len(head_of), 1 << 16):
+            context = np.arange(a, min(len(head_of), a + (1 << 16)))
+            head = head_of[context]
+            row = np.repeat(context, runs[head])
+            pick = np.repeat(first[head] - np.cumsum(runs[head]) + runs[head], runs[head]) + np.arange(int(runs[head].sum()))
+            shift = start[row] - begin[head_of[row]]
+            yield _marked(key[row], shift + los[pick], shift + his[pick])
+
+
+def _marked(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (key[:, 0], key[:, 1], lo, hi)], ["key1", "key2", "lo", "hi"])
+
+
+def repeated(contexts: DataFrame, tasks: int) -> DataFrame:
+    """(key1, key2, lo, hi) of repeated strings. A task gets its shards one after the other and streams each to its scratch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            for shard, *row in zip(*(batch.column(c) for c in ("shard", "keys", "starts", "many", "flags", "data")), strict=True):
+                if held is not None and shard.as_py() != now:
+                    yield from held.marks()
+                    held = None
+                now, held = shard.as_py(), held or Gathered()
+                held.add(*(x.as_py() for x in row))
+        if held is not None:
+            yield from held.marks()
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, s, m in zip(*(batch.column(c) for c in ("keys", "starts", "many")), strict=True):
                 key, start, many = (np.frombuffer(x.as_buffer(), np.int64) for x in (k, s, m))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(start + many)], ["key", "lo", "hi"])
+                yield _marked(key.reshape(-1, 2), start, start + many)
 
-    kinds = "key long, lo long, hi long"
-    return contexts.filter("shard >= 0").groupBy("shard").applyInPandas(run, kinds).unionByName(contexts.filter("shard = -1").select("keys", "starts", "many").mapInArrow(plain, kinds))
+    kinds = "key1 long, key2 long, lo long, hi long"
+    dealt = contexts.filter("shard >= 0").repartition(tasks, "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, kinds).unionByName(contexts.filter("shard = -1").select("keys", "starts", "many").mapInArrow(plain, kinds))
 
 
 def kept_bytes(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
@@ -286,17 +368,29 @@ def kept_bytes(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, list
     return left, [(a, b) for a, b in spans]
 
 
+def hot_grams(grams: DataFrame, bound: int) -> np.ndarray:
+    """The 32-grams of more than bound occurrences, sorted: by arithmetic, few."""
+    held = [np.frombuffer(r["often"], np.uint64) for r in grams.select("often", "most").filter(F.col("most") > bound).select("often").toLocalIterator()]
+    pairs = np.concatenate([x.reshape(-1, 2) for x in held]) if held else np.zeros((0, 2), np.uint64)
+    return np.sort(pairs[pairs[:, 1] > bound, 0])
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (binary), spans (removed byte ranges) of every row of docs."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", text_of("text").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = docs.select("doc_id", text_of("text").alias("text")).withColumns({"key1": F.xxhash64("doc_id", "text"), "key2": F.xxhash64("text", F.lit("2"), "doc_id")})
     chars = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     grams = written(spark, repeated_grams(rows, max(1, -(-chars // (85 * ROWS_A_BUCKET)))), "grams")
     occurs, distinct = grams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.octet_length("grams") / 8), F.lit(0))).first()
     bits = min(MOST_BITS, max(LEAST_BITS, int(16 * distinct).bit_length()))
     bloom = spark.sparkContext.broadcast(bloom_filter(grams, bits) if occurs else np.zeros(1 << (bits - 3), np.uint8))
-    contexts = written(spark, sent(rows, bloom, bits, max(1, -(-occurs * 284 // SHARD_BYTES))), "contexts")
-    marks = repeated(contexts).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    hot = hot_grams(grams, max(HOT_ROWS, occurs // MOST_HOT))
+    shards = max(1, -(-occurs * 284 // SHARD_BYTES))
+    contexts = written(spark, sent(rows, bloom, bits, shards, spark.sparkContext.broadcast(hot)), "contexts")
+    # rows that agree in doc_id and text share a key and their marks; so many of them there are
+    marks = repeated(contexts, max(1, -(-shards // 4))).groupBy("key1", "key2", "lo", "hi").agg(F.count("*").alias("size"))
+    key = F.concat_ws(":", "key1", "key2").alias("key")
+    marks = written(spark, marks.groupBy(key).agg(F.max("size").alias("size"), F.collect_list(F.struct("lo", "hi")).alias("marks")), "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_of(batches):
@@ -311,7 +405,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["doc_id", "n_bytes", "kept", "spans"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.join(marks, "key", "left").select("doc_id", "text", "marks").mapInArrow(run, f"doc_id {id_type}, n_bytes long, kept binary, spans array<struct<lo:long,hi:long>>")
+    found = hot_lookup(rows.select("doc_id", "text", key), "key", marks, ["marks"], "doc_id")
+    return found.select("doc_id", "text", "marks").mapInArrow(run, f"doc_id {id_type}, n_bytes long, kept binary, spans array<struct<lo:long,hi:long>>")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

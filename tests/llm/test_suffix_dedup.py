@@ -9,12 +9,35 @@ import pytest
 from sqlatlas.llm import induced, suffix_dedup
 
 
-@pytest.mark.parametrize("held", [1 << 20, 5])
-def test_suffix_order(held):
-    rng = np.random.default_rng(held)
-    for _ in range(300):
-        text = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 70)), 0).astype(np.uint16)
-        assert list(induced.suffix_order(text, 1000, held)) == sorted(range(len(text)), key=lambda i: tuple(text[i:]))
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize(("held", "block", "base", "digits"), [(None, 1 << 19, 4 << 20, 2048), (0, 7, 0, 5), (60, 3, 4 << 20, 4), (200, 1 << 19, 0, 4)])
+def test_suffixes_and_common_prefixes(held, block, base, digits, monkeypatch):
+    """In memory and on disk, with the recursion and without."""
+    for name, value in (("BLOCK", block), ("BASE", base), ("DIGITS", digits)):
+        monkeypatch.setattr(induced, name, value)
+    rng = np.random.default_rng(block)
+    for _ in range(80):
+        text = rng.integers(1, rng.integers(2, 6), rng.integers(0, 90))
+        text = np.append(np.tile(text, rng.integers(1, 4)), 0).astype(np.uint16)
+        order, shares = induced.suffix_order(text, 1000, held)
+        raw = text.tolist()
+        want = sorted(range(len(raw)), key=lambda i: raw[i:])
+        assert list(order) == want
+        assert list(shares) == [0] + [common(raw[a:], raw[b:]) for a, b in zip(want, want[1:])]
+        _, capped = induced.suffix_order(text, 5, held)
+        assert list(capped) == [min(5, x) for x in shares]
+
+
+def test_the_scratch_takes_a_text_larger_than_its_memory():
+    text = np.append(np.tile(np.random.default_rng(1).integers(1, 250, 40_000), 3), 0).astype(np.uint16)
+    scratch = induced.Scratch(1 << 16)
+    order, shares = induced.suffixes(text, 200, scratch, 256)
+    assert scratch.spooled > 10 * len(text) and isinstance(order, np.memmap)
+    assert sorted(order) == list(range(len(text))) and int((np.asarray(shares) == 200).sum()) == 2 * 40_000 - 199
+    scratch.close()
 
 
 def plain(texts, width=200):
@@ -31,7 +54,11 @@ def plain(texts, width=200):
     return out
 
 
-def test_remove_repeats(spark):
+@pytest.mark.parametrize(("held", "hot"), [(256 << 20, 20_000), (1000, 3)])
+def test_remove_repeats(spark, held, hot, monkeypatch):
+    """Also with everything on disk and every 32-gram hot."""
+    monkeypatch.setattr(induced, "HELD", held)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 8)))
     make = lambda n: " ".join(word() for _ in range(n))
@@ -64,3 +91,11 @@ def test_repeat_beyond_16_mib(spark):
     docs = spark.createDataFrame([(0, text), (1, "A" * 50 + text[low : low + 700] + "B" * 50)], "doc_id long, text string")
     got = {r.doc_id: [(s.lo, s.hi) for s in r.spans] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == {0: [(low, low + 700)], 1: [(50, 750)]}
+
+
+def test_many_repeated_rows(spark):
+    """k equal rows share one key: its marks are told once, and every row gets them."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(7, text)] * 3000 + [(8, text + " more of it"), (9, "x" * 150)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 3002 and {(r.doc_id, len(r.kept), len(r.spans)) for r in got} == {(7, 0, 1), (8, 11, 1), (9, 150, 0)}
