@@ -16,8 +16,8 @@ shingles, those of frequency one meet nothing; by the others each document goes
   R-tree without a limit. Shards over ``SHARD`` sets are dealt out in pairs of blocks.
 
 Surviving pairs are verified in every round, and all verified links make the components. Nothing is capped: what the first rounds leave
-out, the last finds. A link lies inside a component, so links are counted there afterwards, over all pairs of whole sets, in pairs of
-blocks of about ``BLOCK_BYTES``. Equal sets are one node from the start (identified by a 64-bit sum over the set), so copies cost one node.
+out, the last finds. A link lies inside a component, so links are counted there afterwards, over all pairs of whole sets, by products
+of incidence matrices in pairs of blocks of about ``BLOCK_BYTES``. Equal sets are one node from the start (identified by a 64-bit sum over the set), so copies cost one node.
 The main data (leading shingles) move as packed arrays, once.
 
 Null text, or text without words, has no shingles and is linked with nothing: it is its own component. A text of one to four words is
@@ -43,7 +43,8 @@ SIZE, DIMS = 5, 256
 NUM, DEN = 3, 4  # the threshold 0.75
 SHARED = 4  # l
 SMALL, SHARD, NEAREST = 8, 8_192, 2
-BLOCK_BYTES = 4 << 20
+#: Blocks of sets whose links are counted: bytes and sets. A pair of sets that share a shingle costs as much as so many products of a dense column, of which COLUMNS are multiplied at once.
+BLOCK_BYTES, BLOCK_SETS, PAIR_COST, COLUMNS = 4 << 20, 2_048, 64, 1_024
 #: Document frequencies from which a level begins; shingles below the first are not sent.
 LEVELS = (2, 9, 65, 513, 4097, 32_769)
 LEAST_BITS, MOST_BITS = 16, 27
@@ -432,39 +433,86 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def linked(xs: list[np.ndarray], ys: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """With how many sets of ys each of xs is linked, and the other way round; ys None: within xs.
+
+    Overlaps are a product of incidence matrices. Shingles that most sets have are multiplied as dense columns, the others are counted
+    by their pairs of sets, whichever costs less; a shingle of one set counts for nothing.
+    """
+    same, others = ys is None, xs if ys is None else ys
+    nx, ny = len(xs), len(others)
+    size_x, size_y = (np.fromiter(map(len, sets), np.int64, len(sets)) for sets in (xs, others))
+    flat_x, flat_y = np.concatenate([np.zeros(0, np.uint64), *xs]), np.concatenate([np.zeros(0, np.uint64), *others])
+    if same:
+        own, many = np.unique(flat_x, return_counts=True)
+        shared = own[many > 1]
+    else:
+        shared = np.intersect1d(flat_x, flat_y)
+    both = np.zeros((nx, ny), np.float32)
+    if len(shared):
+        sides = []
+        for flat, size in ((flat_x, size_x), (flat_y, size_y)):
+            at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+            live = shared[at] == flat
+            column, row = at[live], np.repeat(np.arange(len(size)), size)[live]
+            order = np.argsort(column, kind="stable")
+            sides.append((column[order], row[order], np.bincount(column, minlength=len(shared))))
+        (cx, rx, mx), (cy, ry, my) = sides
+        dense = mx * my * PAIR_COST > nx * ny
+        number = np.cumsum(dense) - 1
+        for lo in range(0, int(dense.sum()), COLUMNS):
+            parts = []
+            for column, row, n in ((cx, rx, nx), (cy, ry, ny)):
+                live = dense[column] & (number[column] >= lo) & (number[column] < lo + COLUMNS)
+                part = np.zeros((n, min(COLUMNS, int(dense.sum()) - lo)), np.float32)
+                part[row[live], number[column[live]] - lo] = 1
+                parts.append(part)
+            both += parts[0] @ parts[1].T
+        begin = np.cumsum(my) - my
+        light = np.flatnonzero(~dense[cx])
+        upto = np.cumsum(my[cx[light]])
+        lo = 0
+        while lo < len(light):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 21))))
+            own = light[lo:hi]
+            many = my[cx[own]]
+            at = np.repeat(begin[cx[own]] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            np.add.at(both.ravel(), np.repeat(rx[own], many) * ny + ry[at], 1)
+            lo = hi
+    near = (both > 0) & ((NUM + DEN) * both >= NUM * (size_x[:, None] + size_y[None, :]).astype(np.float32))
+    if same:
+        np.fill_diagonal(near, False)
+    return near.sum(1), near.sum(0)
+
+
 def degrees(labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sig, n_links): with how many other sets each labelled set is linked, counted over all pairs of its component."""
+    """(sig, n_links): with how many other sets each labelled set is linked, counted over all pairs of its component, in blocks."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        sig, block = rows["sig"].to_numpy(), rows["block"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
-        inner = np.flatnonzero(block == y)
-        every = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in inner)])  # a block may be empty
-        order = np.argsort(every, kind="stable")
-        every, home = every[order], np.repeat(np.arange(len(inner)), size[inner])[order]
-        n = np.zeros(len(sig), np.int64)
-        for i in np.flatnonzero(block == x) if len(inner) else ():
-            lo = np.searchsorted(every, sets[i], "left")
-            many = np.searchsorted(every, sets[i], "right") - lo
-            at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-            both = np.bincount(home[at], minlength=len(inner))
-            near = inner[DEN * both >= NUM * (size[inner] + size[i] - both)]
-            near = near[near != i]
-            n[i] += len(near)
-            if x != y:
-                n[near] += 1
-        return pd.DataFrame({"sig": sig, "n": n})
+        out = []
+        for _, own in rows.groupby("label", sort=False):
+            sig, block = own["sig"].to_numpy(), own["block"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in own["shingles"]]
+            x, y = int(own["x"].iloc[0]), int(own["y"].iloc[0])
+            a, b = np.flatnonzero(block == x), np.flatnonzero(block == y)
+            if x == y:
+                out.append((sig[a], linked([sets[i] for i in a], None)[0]))
+            else:
+                n, m = linked([sets[i] for i in a], [sets[i] for i in b])
+                out += [(sig[a], n), (sig[b], m)]
+        sigs, ns = zip(*out, strict=True)
+        return pd.DataFrame({"sig": np.concatenate(sigs), "n": np.concatenate(ns).astype(np.int64)})
 
     own = labels.withColumnRenamed("node", "sig").join(sets, "sig")
-    total = own.groupBy("label").agg(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES).cast("int").alias("parts"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    total = own.groupBy("label").agg(parts.alias("parts"), F.sum(F.octet_length("shingles")).alias("bytes"), F.count("*").alias("size"))
+    total = written(labels.sparkSession, total, "sizes")
     bins = max(1, -(-int(total.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // BLOCK_BYTES))
-    own = own.join(total.select("label", "parts"), "label")
+    own = hot_lookup(own, "label", total, ["parts"], "sig")
     own = own.withColumns({"block": F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
     # small components share a task
     own = own.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other"), "large": F.col("parts") > 1, "part": F.when(F.col("parts") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bins)))})
-    return own.select("large", "part", "x", "y", "block", "sig", "shingles").groupBy("large", "part", "x", "y").applyInPandas(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n_links"))
+    return own.select("large", "part", "x", "y", "block", "label", "sig", "shingles").groupBy("large", "part", "x", "y").applyInPandas(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n_links"))
 
 
 def jaccard_classes(docs: DataFrame, count: bool = True, told: bool = False) -> DataFrame:

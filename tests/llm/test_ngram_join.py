@@ -78,6 +78,20 @@ def test_links_of_near_copies(spark, block, monkeypatch):
     assert {r.doc_id: r.n_links for r in ngram_join.jaccard_classes(docs).collect()} == dict(enumerate(want)) and want[0] == 59
 
 
+@pytest.mark.parametrize("cost", [0, 1, 64, 1 << 30])
+def test_links_by_matrices(cost, monkeypatch):
+    """Dense columns, pairs, and both."""
+    monkeypatch.setattr(ngram_join, "PAIR_COST", cost)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    rng = np.random.default_rng(cost % 97)
+    sets = [np.unique(rng.integers(0, rng.choice([12, 400]), rng.integers(1, 30))).astype(np.uint64) for _ in range(60)]
+    near = lambda a, b: 4 * len(np.intersect1d(a, b)) >= 3 * len(np.union1d(a, b))
+    inner, _ = ngram_join.linked(sets, None)
+    assert list(inner) == [sum(near(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    x, y = ngram_join.linked(sets[:25], sets[25:])
+    assert list(x) == [sum(near(a, b) for b in sets[25:]) for a in sets[:25]] and list(y) == [sum(near(a, b) for a in sets[:25]) for b in sets[25:]]
+
+
 def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, None)], "doc_id long, text string")
     assert ngram_join.jaccard_classes(docs.limit(0)).count() == 0
