@@ -257,6 +257,7 @@ def test_lm_scores(spark, frequent, monkeypatch):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n) and math.isclose(r.base_score, base, rel_tol=1e-9)
         assert -len(raw[i]) / 2000 - 0.01 < r.score - model[i] < 1e-6
+        assert math.isclose(r.bits_per_byte, -r.score / math.log10(2) / (len(raw[i]) + 1))
     assert lm_score.score_documents(frame(spark, []), F.lit(True)).count() == 0
     assert lm_score.score_documents(frame(spark, ["a b"]), F.lit(False)).first().n_known == 0
 
