@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,14 +107,26 @@ def drawio(rows: DataFrame, direction: str = "TD", title: str = "diagram") -> Da
     """unit_id, xml: an mxGraph file per row of (unit_id, nodes, edges), laid out."""
     from ..operators.layout import lay_out, waypoints
 
-    @F.udf("struct<at:array<struct<x:int,y:int,w:int,h:int>>,lanes:array<array<struct<x:int,y:int>>>>")
-    def place(nodes, edges):
-        n, e = [x.asDict() for x in nodes or []], [x.asDict() for x in edges or []]
-        spots, _ = lay_out(n, e, direction) if n else ([], None)
-        lanes = waypoints(spots, e, direction)
-        return [(int(r["x"] // 1 + (r["x"] % 1 >= 0.5)), int(r["y"] // 1 + (r["y"] % 1 >= 0.5)), r["w"], r["h"]) for r in spots], [lanes.get(i, []) for i in range(len(e))]
+    point = pa.struct([("x", pa.int32()), ("y", pa.int32())])
+    box = pa.struct([("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("h", pa.int32())])
+    kind = pa.struct([("at", pa.list_(box)), ("lanes", pa.list_(pa.list_(point)))])
 
-    rows = rows.select("unit_id", "nodes", "edges", place("nodes", "edges").alias("p"))
+    def near(v: float) -> int:
+        return int(v // 1 + (v % 1 >= 0.5))
+
+    def place(nodes: list[dict], edges: list[dict]) -> dict:
+        spots = lay_out(nodes, edges, direction)[0] if nodes else []
+        lanes = waypoints(spots, edges, direction)
+        return {"at": [{"x": near(r["x"]), "y": near(r["y"]), "w": r["w"], "h": r["h"]} for r in spots], "lanes": [[{"x": x, "y": y} for x, y in lanes.get(i, [])] for i in range(len(edges))]}
+
+    def run(batches):
+        for batch in batches:
+            placed = [place(n or [], e or []) for n, e in zip(batch.column("nodes").to_pylist(), batch.column("edges").to_pylist(), strict=True)]
+            yield batch.append_column("p", pa.array(placed, kind))
+
+    rows = rows.select("unit_id", "nodes", "edges")
+    placed = "struct<at:array<struct<x:int,y:int,w:int,h:int>>,lanes:array<array<struct<x:int,y:int>>>>"
+    rows = rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", p {placed}")
 
     def vertex(n: Column, i: Column) -> Column:
         at = F.get(F.col("p.at"), i)

@@ -9,7 +9,9 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,6 +206,19 @@ def layouts(rows: DataFrame, direction: str = "TD") -> DataFrame:
     return rows.select("unit_id", "nodes", "edges").mapInPandas(run, "unit_id string, id string, ord int, rank int, place int, x double, y double, w int, h int")
 
 
+def layout_reports(rows: DataFrame, direction: str = "TD") -> DataFrame:
+    """unit_id and the report of every row's layout: layers, crossings, overlaps, back, backbone, monotonic and path edges, warning."""
+    names = ("layers", "crossings", "overlaps", "back_edges", "backbone_edges", "monotonic_edges", "path_edges")
+
+    def run(batches):
+        for batch in batches:
+            told = [lay_out(n or [], e or [], direction)[1] if n else {} for n, e in zip(batch.column("nodes").to_pylist(), batch.column("edges").to_pylist(), strict=True)]
+            columns = [pa.array([int(t.get(k, 0)) for t in told], pa.int64()) for k in names]
+            yield pa.RecordBatch.from_arrays([batch.column("unit_id"), *columns, pa.array([t.get("warning") for t in told], pa.string())], ["unit_id", *names, "warning"])
+
+    return rows.select("unit_id", "nodes", "edges").mapInArrow(run, f"unit_id string, {', '.join(f'{k} long' for k in names)}, warning string")
+
+
 # --- large graphs as DataFrames --------------------------------------------------------------------
 
 
@@ -218,8 +233,8 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame
         step = step.join(far, "now").select("id", F.col("component").alias("old"), F.least("now", "far").alias("component")).checkpoint()
         labels = step.select("id", "component")
         if step.filter("old <> component").isEmpty():
-            break
-    return labels
+            return labels
+    raise ValueError(f"the components did not settle in {most} rounds")
 
 
 def ranks(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
@@ -234,12 +249,33 @@ def ranks(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     raise ValueError("the graph has a cycle or longer paths than allowed")
 
 
+def inversions(x: np.ndarray) -> int:
+    """Pairs of an array in falling order, by merging blocks of 1, 2, 4, ... elements."""
+    x = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    n, total, width = len(x), 0, 1
+    while width < n:
+        block = np.arange(n) // (2 * width)
+        left = np.arange(n) % (2 * width) < width
+        keys = block * (n + 1) + x  # both halves of each block are sorted
+        low, high = keys[left], keys[~left]
+        ends = np.searchsorted(low, (block[~left] + 1) * (n + 1))
+        total += int((ends - np.searchsorted(low, high, "right")).sum())
+        x = np.sort(keys) - block * (n + 1)
+        width *= 2
+    return total
+
+
 def crossings(wires: DataFrame) -> DataFrame:
-    """One row: n, the pairs of wires (ord, layer_lo, layer_hi, lo, hi, src, dst) of the same layers in opposite orders without a common end."""
-    a, b = wires.alias("a"), wires.alias("b")
-    same = (F.col("a.layer_lo") == F.col("b.layer_lo")) & (F.col("a.layer_hi") == F.col("b.layer_hi")) & (F.col("a.ord") < F.col("b.ord"))
-    apart = (F.col("a.src") != F.col("b.src")) & (F.col("a.dst") != F.col("b.dst")) & (F.col("a.src") != F.col("b.dst")) & (F.col("a.dst") != F.col("b.src"))
-    return a.join(b, same & apart & ((F.col("a.lo") < F.col("b.lo")) != (F.col("a.hi") < F.col("b.hi")))).agg(F.count("*").alias("n"))
+    """One row: n, the pairs of wires (layer_lo, layer_hi, lo, hi) of the same two layers in opposite orders.
+
+    Wires with a common end have a common place there and do not cross. Each pair of layers is sorted and its inversions are counted.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [inversions(part.sort_values(["lo", "hi"])["hi"].to_numpy())]})
+
+    by = wires.select("layer_lo", "layer_hi", "lo", "hi").groupBy("layer_lo", "layer_hi").applyInPandas(run, "n long")
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def overlaps(boxes: DataFrame, cell: int = 256) -> DataFrame:

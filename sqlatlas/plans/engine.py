@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexer import tokens
+from ..functions.render import drawio, mermaid
 from ..functions.vocab import DIALECTS
 from ..operators.analysis import analyse
 from ..operators.flow import Options
+from ..operators.layout import layout_reports
 from ..sources.catalogue import Catalogue
 from ..sources.corpus import split_objects
 
@@ -203,6 +205,24 @@ def corpus_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+def export_metrics(rows: DataFrame) -> DataFrame:
+    """One row of rates over all objects with a graph: parity (Mermaid and draw.io hold the same nodes and edges, in both directions), traced (draw.io
+    nodes that tell their provenance), layout (no overlaps, every edge of the backbone that closes no cycle goes on by layers)."""
+    rows = rows.filter(F.size("nodes") > 0).select("unit_id", "nodes", "edges")
+    parts = []
+    for direction in ("TD", "LR"):
+        lines = F.split(mermaid(F.col("nodes"), F.col("edges"), direction), "\n")
+        drawn = drawio(rows, direction).select("unit_id", *(F.regexp_count("xml", F.lit(f' {k}="1" ')).alias(k) for k in ("vertex", "edge")), F.regexp_count("xml", F.lit('data-origin="cls=[^"]*provenance=')).alias("traced"))
+        told = rows.select("unit_id", F.size(F.filter(lines, lambda x: x.rlike(r"^  n[0-9]+ -"))).alias("wires"), F.size(F.filter(lines, lambda x: x.rlike(r"^  n[0-9]+[^ ]"))).alias("shapes"))
+        same = (F.col("vertex") == F.col("shapes")) & (F.col("edge") == F.col("wires"))
+        parts.append(told.join(drawn, "unit_id").select(same.cast("int").alias("parity"), "vertex", "traced"))
+    exports = parts[0].unionByName(parts[1]).agg(F.round(F.avg("parity"), 6).alias("parity_rate"), F.round(F.sum("traced") / F.sum("vertex"), 6).alias("traced_rate"))
+    fine = (F.col("overlaps") == 0) & (F.col("monotonic_edges") + F.col("back_edges") >= F.col("backbone_edges"))
+    laid = layout_reports(rows).agg(F.round(F.avg(fine.cast("int")), 6).alias("layout_rate"))
+    one = F.lit(1).alias("one")
+    return exports.select("*", one).join(laid.select("*", one), "one").drop("one")
+
+
 def metrics_snapshot(rows: DataFrame) -> str:
     """``corpus_metrics`` as sorted JSON, to be stored and compared."""
     return json.dumps(corpus_metrics(rows).first().asDict(), sort_keys=True, default=float, indent=2)

@@ -9,8 +9,6 @@ from ..functions.lexer import tokens
 from ..functions.vocab import OBJECT_KINDS, OBJECT_MODIFIERS
 
 FILES = "file_id string, name string, text string"
-#: Tokens looked at for one object header: CREATE OR REPLACE, modifiers, kind.
-AHEAD = 10
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -44,12 +42,14 @@ def split_objects(files: DataFrame) -> DataFrame:
     """
     toks = tokens(files, "file_id", "text")
     own = Window.partitionBy("file_id").orderBy("ord")
-    toks = toks.select("file_id", "ord", "pos", "u", F.collect_list("u").over(own.rowsBetween(0, AHEAD)).alias("a")).filter(F.col("u").isin("CREATE", "ALTER", "REPLACE"))
-    first = F.when((F.col("u") == "CREATE") & (F.get("a", F.lit(1)) == "OR") & F.get("a", F.lit(2)).isin("ALTER", "REPLACE"), 3).otherwise(1)
-    at = F.array_min(F.filter(F.sequence(first, F.lit(AHEAD)), lambda i: ~F.coalesce(F.get("a", i).isin(*OBJECT_MODIFIERS), F.lit(False))))
-    toks = toks.withColumn("at", at).withColumn("kind", F.get("a", F.col("at"))).filter(F.col("kind").isin(*OBJECT_KINDS))
+    # of each token, the next one (itself included) that is no modifier: runs of modifiers have any length
+    back = Window.partitionBy("file_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    toks = toks.select("file_id", "ord", "pos", "u", F.min(F.when(~F.col("u").isin(*OBJECT_MODIFIERS), F.struct("ord", "u"))).over(back).alias("after"))
+    both = (F.col("u") == "CREATE") & (F.lead("u", 1).over(own) == "OR") & F.lead("u", 2).over(own).isin("ALTER", "REPLACE")
+    toks = toks.withColumn("head", F.when(both, F.lead("after", 3).over(own)).otherwise(F.lead("after", 1).over(own)))
+    toks = toks.filter(F.col("u").isin("CREATE", "ALTER", "REPLACE")).select("file_id", "ord", "pos", F.col("head.ord").alias("at"), F.col("head.u").alias("kind")).filter(F.col("kind").isin(*OBJECT_KINDS))
     # a header may hold a second match (REPLACE VIEW inside CREATE OR REPLACE VIEW)
-    reach = F.max(F.col("ord") + F.col("at")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max("at").over(own.rowsBetween(Window.unboundedPreceding, -1))
     starts = toks.withColumn("reach", reach).filter("reach is null or ord > reach")
     starts = starts.select("file_id", (F.row_number().over(own) - 1).alias("ord"), "kind", "pos", F.lead("pos").over(own).alias("next"))
     units = files.select("file_id", F.col("name").alias("file"), F.coalesce("text", F.lit("")).alias("text")).join(starts, "file_id", "left")
