@@ -9,7 +9,7 @@ not parse again; ``register`` publishes temp views.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
@@ -45,21 +45,22 @@ SCHEMAS = {
 _TEXTS = ("dialect", "detected", "name", "params", "header_kind", "mode", "formula")
 _INTS = ("score", *(f"score_{d}" for d in DIALECTS), "tokens_total", "tokens_consumed", "regions", "regions_resolved", "regions_approx", "regions_opaque", "regions_error")
 _DOUBLES = ("coverage", "certainty", "confidence", "quality")
-ANALYSED = ", ".join(
-    ["unit_id string"]
-    + [f"`{n}` {t}" for names, t in ((_TEXTS, "string"), (_INTS, "int"), (("confident", "tied"), "boolean"), (_DOUBLES, "double")) for n in names]
-    + [f"`{n}` {t}" for n, t in SCHEMAS.items()]
-)
+KINDS = {n: t for names, t in ((_TEXTS, "string"), (_INTS, "int"), (("confident", "tied"), "boolean"), (_DOUBLES, "double")) for n in names} | SCHEMAS
 
 
-def analysed(units: DataFrame, dialect: str = "auto", mode: str = "auto", options: Options | None = None, catalogue: Catalogue | None = None) -> DataFrame:
-    """units (unit_id, sql) with the analysis of each; the one Python stage."""
+def analysed(units: DataFrame, dialect: str = "auto", mode: str = "auto", options: Options | None = None, catalogue: Catalogue | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """units (unit_id, sql) with the analysis of each; the one Python stage.
+
+    columns: those that leave it (all, unless given). Nested ones cost more to hand over than to compute, and no optimiser can leave them out here.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     held = asdict(options or Options())
     known = units.sparkSession.sparkContext.broadcast(catalogue) if catalogue else None
-    schema = to_arrow_schema(_parse_datatype_string(ANALYSED))
+    wanted = [c for c in KINDS if columns is None or c in columns]
+    ddl = ", ".join(["unit_id string", *(f"`{c}` {KINDS[c]}" for c in wanted)])
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Options(**held)
@@ -73,10 +74,10 @@ def analysed(units: DataFrame, dialect: str = "auto", mode: str = "auto", option
                     for f in cat.findings if cat else ():
                         row["findings"].append({"ord": len(row["findings"]), **f._asdict()})
                     row["stats"], row["flow_stats"] = list(row["stats"].items()), list(row["flow_stats"].items())
-                    rows.append({"unit_id": unit, **row})
+                    rows.append({"unit_id": unit, **{c: row[c] for c in wanted}})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return units.select("unit_id", "sql").mapInArrow(run, ANALYSED)
+    return units.select("unit_id", "sql").mapInArrow(run, ddl)
 
 
 @dataclass
@@ -86,10 +87,11 @@ class Estate:
     mode: str = "auto"
     options: Options = field(default_factory=Options)
     catalogue: Catalogue | None = None
+    columns: Sequence[str] | None = None
 
     def __post_init__(self) -> None:
         self.units = split_objects(self.files)
-        self.rows = analysed(self.units, self.dialect, self.mode, self.options, self.catalogue)
+        self.rows = analysed(self.units, self.dialect, self.mode, self.options, self.catalogue, self.columns)
 
     @property
     def spark(self) -> SparkSession:
@@ -99,7 +101,7 @@ class Estate:
         """This estate over tables written under path: units and analysed rows."""
         self.units.write.mode("overwrite").parquet(f"{path}/units")
         self.units = self.spark.read.parquet(f"{path}/units")
-        analysed(self.units, self.dialect, self.mode, self.options, self.catalogue).write.mode("overwrite").parquet(f"{path}/analysed")
+        analysed(self.units, self.dialect, self.mode, self.options, self.catalogue, self.columns).write.mode("overwrite").parquet(f"{path}/analysed")
         self.rows = self.spark.read.parquet(f"{path}/analysed")
         return self
 
