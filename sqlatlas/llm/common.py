@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,39 @@ def hot_lookup(rows: DataFrame, key: str, classes: DataFrame, values: list[str],
     return rows.withColumns(found).drop("__at", "__hot", *(f"__{v}" for v in values))
 
 
+def hashed_table(rows: DataFrame, bits: int, entries: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], packed: bool = False) -> np.ndarray:
+    """A table of 2**bits bytes, the largest value given to each place; packed: of bits. entries: (places, values) of a batch of rows.
+
+    Entries are dealt by piece of the table and a task makes a piece, so no task holds the whole; the driver puts the pieces together.
+    """
+    chunk = min(19, bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, value in entries(batch):
+                order = np.argsort(at, kind="stable")
+                at, value = at[order], value[order]
+                home = at >> chunk
+                edge = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(at) else at
+                parts = list(zip(edge, [*edge[1:], len(at)], strict=True)) if len(at) else []
+                inner = (at & ((1 << chunk) - 1)).astype("<u4")
+                columns = [int(home[a]) for a, _ in parts], [inner[a:b].tobytes() for a, b in parts], [value[a:b].tobytes() for a, b in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "places", "values"])
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << chunk, np.uint8)
+        for x, y in zip(part["places"], part["values"], strict=True):
+            np.maximum.at(own, np.frombuffer(x, "<u4"), np.frombuffer(y, np.uint8))
+        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "bytes": [(np.packbits(own > 0) if packed else own).tobytes()]})
+
+    pieces = rows.mapInArrow(run, "chunk int, places binary, values binary").groupBy("chunk").applyInPandas(merge, "chunk int, bytes binary")
+    out = np.zeros((1 << bits) // 8 if packed else 1 << bits, np.uint8)
+    for r in pieces.toLocalIterator():
+        own = np.frombuffer(r["bytes"], np.uint8)
+        out[r["chunk"] * len(own) : (r["chunk"] + 1) * len(own)] = own
+    return out
+
+
 def text_of(col: str | Column) -> Column:
     """Null text counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

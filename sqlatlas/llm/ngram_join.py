@@ -27,8 +27,7 @@ empty table gives no rows. Extra columns are ignored by ``jaccard_classes`` and
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, Words, blocks, hot_lookup, mix, slices_of, table, text_of, written
+from .common import NOT_BLANK, Words, blocks, hashed_table, hot_lookup, mix, slices_of, table, text_of, written
 from .components import components
 
 SIZE, DIMS = 5, 256
@@ -48,7 +47,7 @@ BLOCK_BYTES, BLOCK_SETS, PAIR_COST, COLUMNS = 4 << 20, 2_048, 64, 1_024
 #: Document frequencies from which a level begins; shingles below the first are not sent.
 LEVELS = (2, 9, 65, 513, 4097, 32_769)
 LEAST_BITS, MOST_BITS = 16, 27
-CHUNK, BLOOM_BITS = 1 << 14, 26
+BLOOM_BITS = 26
 ROWS_A_BUCKET, PRINTS_A_BUCKET = 500_000, 1 << 20
 
 
@@ -167,28 +166,13 @@ def _places(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def level_table(found: DataFrame, bits: int) -> np.ndarray:
     """2**bits levels; a shingle's is the lesser of its two places."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.zeros(1 << bits, np.uint8)
-        for batch in batches:
-            for names, own in zip(batch.column("names"), batch.column("levels"), strict=True):
-                x, y = np.frombuffer(names.as_buffer(), np.uint64), np.frombuffer(own.as_buffer(), np.uint8)
-                for at in _places(x, bits):
-                    np.maximum.at(levels, at, y)
-        parts = [(k, levels[k * CHUNK * 4 : (k + 1) * CHUNK * 4].tobytes()) for k in range(len(levels) // (CHUNK * 4))]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["chunk", "counts"])
-
-    return merged(found.select("names", "levels").coalesce(4).mapInArrow(run, "chunk int, counts binary"), "u1", np.maximum)
-
+    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for names, own in zip(batch.column("names"), batch.column("levels"), strict=True):
+            x, y = np.frombuffer(names.as_buffer(), np.uint64), np.frombuffer(own.as_buffer(), np.uint8)
+            for at in _places(x, bits):
+                yield at, y
 
-def merged(rows: DataFrame, kind: str, op: Callable) -> np.ndarray:
-    """Arrays cut into chunks, from all tasks, merged chunk by chunk on the executors; the driver gets one array of fixed size."""
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        total = functools.reduce(op, (np.frombuffer(x, kind) for x in part["counts"]))
-        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "counts": [total.astype(kind).tobytes()]})
-
-    got = rows.select("chunk", "counts").groupBy("chunk").applyInPandas(merge, "chunk int, counts binary").collect()
-    return np.concatenate([np.frombuffer(r["counts"], kind) for r in sorted(got, key=lambda r: r["chunk"])]) if got else np.zeros(0, kind)
+    return hashed_table(found.select("names", "levels"), bits, entries)
 
 
 def leading(shingles: np.ndarray, levels: np.ndarray, bits: int, bucket_bits: int) -> np.ndarray:
@@ -362,17 +346,11 @@ def searched(members: DataFrame, nearest: int | None) -> DataFrame:
 def bloom_of(sigs: DataFrame) -> np.ndarray:
     """A Bloom filter (two probes, fixed size) of a column of signatures. It only saves work: what it passes is joined exactly."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM_BITS, bool)
-        for batch in batches:
-            for at in _probes(batch.column(0).to_numpy(zero_copy_only=False)):
-                bits[at] = True
-        data = np.packbits(bits)
-        if data.any():
-            cut = [(k, data[k * CHUNK * 4 : (k + 1) * CHUNK * 4]) for k in range(len(data) // (CHUNK * 4))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([c.tobytes() for _, c in cut], pa.binary())], ["chunk", "counts"])
+    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = np.unique(np.concatenate(_probes(batch.column(0).to_numpy(zero_copy_only=False))))
+        yield at, np.ones(len(at), np.uint8)
 
-    return merged(sigs.coalesce(8).mapInArrow(run, "chunk int, counts binary"), "u1", np.bitwise_or)
+    return hashed_table(sigs, BLOOM_BITS, entries, packed=True)
 
 
 def _probes(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -547,7 +525,7 @@ def _classes(docs: DataFrame, count: bool) -> DataFrame:
 
     wanted = close.select(F.col("a").alias("sig")).union(close.select("b")).union(members.select("sig").distinct())
     bloom = bloom_of(wanted)
-    if not len(bloom):
+    if not bloom.any():
         return _told(rows, nodes, None)
     sets = written(spark, sets_of(docs, sc.broadcast(bloom)), "sets")
     links = written(spark, verified(close, sets), "links")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import _CODE, blocks, hot_lookup, mix, slices_of, table, text_of, written
+from .common import _CODE, blocks, hashed_table, hot_lookup, mix, slices_of, table, text_of, written
 
 WIDTH, GRAM = 200, 32
 SPAN = WIDTH - GRAM + 1  # 32-grams in a string
@@ -139,30 +139,14 @@ def repeated_grams(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def bloom_filter(packed: DataFrame, bits: int) -> np.ndarray:
-    """A filter of 2**bits bits, two probes, over packed 64-bit numbers: their places are dealt by piece of the filter, and a task makes a piece."""
-    chunk = min(19, bits)
+    """A filter of 2**bits bits, two probes, over packed 64-bit numbers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("grams"):
-                at = np.unique(np.concatenate(probes(np.frombuffer(x.as_buffer(), np.uint64), bits)))
-                home = at >> chunk
-                edge = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(at) else at
-                parts = [(int(home[a]), (at[a:b] & ((1 << chunk) - 1)).astype("<u4").tobytes()) for a, b in zip(edge, [*edge[1:], len(at)], strict=True)] if len(at) else []
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["chunk", "places"])
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        flags = np.zeros(1 << chunk, bool)
-        for x in part["places"]:
-            flags[np.frombuffer(x, "<u4")] = True
-        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "bits": [np.packbits(flags).tobytes()]})
-
-    rows = packed.select("grams").mapInArrow(run, "chunk int, places binary").groupBy("chunk").applyInPandas(merge, "chunk int, bits binary")
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        own = np.frombuffer(r["bits"], np.uint8)
-        out[r["chunk"] * len(own) : (r["chunk"] + 1) * len(own)] = own
-    return out
+    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for x in batch.column("grams"):
+            at = np.unique(np.concatenate(probes(np.frombuffer(x.as_buffer(), np.uint64), bits)))
+            yield at, np.ones(len(at), np.uint8)
+
+    return hashed_table(packed.select("grams"), bits, entries, packed=True)
 
 
 def probes(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
