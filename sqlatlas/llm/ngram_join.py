@@ -97,7 +97,7 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     texts = [(x.as_py() or "").encode().lower() for x in batch.column("text")]
-    for lo, hi in blocks(texts, 2 << 20):
+    for lo, hi in blocks(texts, 1 << 20):
         yield from shingle_sets(texts[lo:hi])
 
 
