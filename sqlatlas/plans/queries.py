@@ -436,7 +436,7 @@ def cyclomatic(spark, sf_dir):
 @query("SELECT count(*) AS exits, CAST(count(*) + sum(c_custkey % 2) AS BIGINT) AS terminals FROM customer")
 def cfg_exits(spark, sf_dir):
     """Every RETURN has a dotted edge to the end; terminals are RETURN and THROW."""
-    _, got = _knobs(spark, sf_dir)
+    _, got = _knobs(spark, sf_dir, columns=("nodes", "edges"))
     ends = got.select(F.filter("nodes", lambda n: n["cls"].isin("ret", "err")).alias("t"), F.get(F.filter("nodes", lambda n: (n["cls"] == "start") & (n["text"] == "End")), F.lit(0))["id"].alias("end"), "edges")
     hit = F.size(F.filter("edges", lambda e: (e["dst"] == F.col("end")) & (e["style"] == "dotted")))
     return ends.agg(F.sum(hit).alias("exits"), F.sum(F.size("t")).alias("terminals"))
