@@ -105,7 +105,7 @@ def node_style(n: Column) -> Column:
 
 def drawio(rows: DataFrame, direction: str = "TD", title: str = "diagram") -> DataFrame:
     """unit_id, xml: an mxGraph file per row of (unit_id, nodes, edges), laid out."""
-    from ..operators.layout import lay_out, waypoints
+    from ..operators.layout import graphs, lay_out, waypoints
 
     point = pa.struct([("x", pa.int32()), ("y", pa.int32())])
     box = pa.struct([("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("h", pa.int32())])
@@ -121,7 +121,7 @@ def drawio(rows: DataFrame, direction: str = "TD", title: str = "diagram") -> Da
 
     def run(batches):
         for batch in batches:
-            placed = [place(n or [], e or []) for n, e in zip(batch.column("nodes").to_pylist(), batch.column("edges").to_pylist(), strict=True)]
+            placed = [place(n or [], e or []) for n, e in graphs(batch)]
             yield batch.append_column("p", pa.array(placed, kind))
 
     rows = rows.select("unit_id", "nodes", "edges")

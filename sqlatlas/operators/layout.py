@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -124,11 +125,17 @@ def lay_out(nodes: list[dict], edges: list[dict], direction: str = "TD") -> tupl
         layers[g].sort(key=lambda i: (centre(i), place[i]))
         place.update({i: k for k, i in enumerate(layers[g])})
 
+    wide = [g for g in range(band) if len(layers[g]) > 1]  # a layer of one has one order
     for _ in range(SWEEPS):
-        for g in range(1, band):
-            sweep(g, g - 1)
-        for g in range(band - 2, -1, -1):
-            sweep(g, g + 1)
+        before = [layers[g][:] for g in wide]
+        for g in wide:
+            if g:
+                sweep(g, g - 1)
+        for g in reversed(wide):
+            if g < band - 1:
+                sweep(g, g + 1)
+        if all(layers[g] == old for g, old in zip(wide, before, strict=True)):  # a sweep that moves nothing moves nothing again
+            break
     down = direction != "LR"
     gap, apart = GAPS["TD" if down else "LR"]
     rows = []
@@ -193,17 +200,39 @@ def waypoints(rows: list[dict], edges: list[dict], direction: str = "TD") -> dic
     return out
 
 
+_NODE, _EDGE = ("id", "shape", "cls"), ("src", "dst", "kind", "style")
+
+
+def graphs(batch: pa.RecordBatch) -> Iterator[tuple[list[dict], list[dict]]]:
+    """Nodes and edges of every row, with what a layout reads of them: other fields cost more to convert than a layout to make."""
+
+    def lists(name: str, fields: tuple[str, ...]) -> list[list[dict] | None]:
+        column = batch.column(name)
+        inner = pa.StructArray.from_arrays([column.values.field(f) for f in fields], fields)
+        return pa.ListArray.from_arrays(column.offsets, inner).to_pylist()
+
+    yield from zip(lists("nodes", _NODE), lists("edges", _EDGE), strict=True)
+
+
 def layouts(rows: DataFrame, direction: str = "TD") -> DataFrame:
     """unit_id, id, ord, rank, place, x, y, w, h of the nodes of every row's graph (nodes, edges nested)."""
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for unit, nodes, edges in zip(f["unit_id"], f["nodes"], f["edges"], strict=True):
-                out += [{"unit_id": unit, **r} for r in lay_out(list(nodes), list(edges), direction)[0]]
-            yield pd.DataFrame(out, columns=["unit_id", "id", "ord", "rank", "place", "x", "y", "w", "h"])
+    names = ("rank", "place", "x", "y", "w", "h")
+    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                units, out = [], []
+                for unit, (nodes, edges) in zip(part.column("unit_id").to_pylist(), graphs(part), strict=True):
+                    own = lay_out(nodes, edges, direction)[0] if nodes else []
+                    units += [unit] * len(own)
+                    out += own
+                told = [pa.array([r[k] for r in out], t) for k, t in zip(names, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array([r["id"] for r in out], pa.string()), pa.array([r["ord"] for r in out], pa.int32()), *told], ["unit_id", "id", "ord", *names])
 
-    return rows.select("unit_id", "nodes", "edges").mapInPandas(run, "unit_id string, id string, ord int, rank int, place int, x double, y double, w int, h int")
+    return rows.select("unit_id", "nodes", "edges").mapInArrow(run, "unit_id string, id string, ord int, rank int, place int, x double, y double, w int, h int")
 
 
 def layout_reports(rows: DataFrame, direction: str = "TD") -> DataFrame:
@@ -212,7 +241,7 @@ def layout_reports(rows: DataFrame, direction: str = "TD") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            told = [lay_out(n or [], e or [], direction)[1] if n else {} for n, e in zip(batch.column("nodes").to_pylist(), batch.column("edges").to_pylist(), strict=True)]
+            told = [lay_out(n, e, direction)[1] if n else {} for n, e in graphs(batch)]
             columns = [pa.array([int(t.get(k, 0)) for t in told], pa.int64()) for k in names]
             yield pa.RecordBatch.from_arrays([batch.column("unit_id"), *columns, pa.array([t.get("warning") for t in told], pa.string())], ["unit_id", *names, "warning"])
 

@@ -1,6 +1,8 @@
-"""What keeps large estates within time: tasks for all cores, only the columns asked for."""
+"""What keeps large estates within time: tasks for all cores, only the columns asked for, layouts that convert little."""
 
+import pyarrow as pa
 import pytest
+from sqlatlas.operators import layout
 from sqlatlas.operators.analysis import analyse
 from sqlatlas.plans import engine, queries
 
@@ -31,6 +33,7 @@ def test_units_of_one_partition_are_dealt_over_all_cores(spark):
 #: What the Python stage of a query hands over.
 COLUMNS = {
     "cfg_exits": "edges nodes",
+    "drawio_files": "edges nodes",
 }
 
 
@@ -40,3 +43,11 @@ def test_queries_deal_units_and_ask_for_few_columns(spark, name):
     stage = next(x for x in plan.splitlines()[::-1] if "MapInArrow" in x)
     made = {x.split("#")[0].strip() for x in stage.split("[")[1].split("]")[0].split(",")} - {"unit_id"}
     assert "RepartitionByExpression [unit_id" in plan and sorted(made) == COLUMNS[name].split()
+
+
+def test_graphs_of_a_batch_hold_what_a_layout_reads():
+    rows = [{"unit_id": str(k), **analyse(sql, "tsql", "flow", columns=("nodes", "edges"))} for k, sql in enumerate(TEXTS)]
+    whole = pa.RecordBatch.from_pylist([*rows, {"unit_id": "none", "nodes": None, "edges": None}])
+    got = list(layout.graphs(whole.slice(3)))
+    assert [set(n) for nodes, _ in got for n in nodes[:1]] == [{"id", "shape", "cls"}] * (len(rows) - 3)
+    assert [layout.lay_out(*g) for g in got[:-1]] == [layout.lay_out(r["nodes"], r["edges"]) for r in rows[3:]] and not got[-1][0]
