@@ -445,7 +445,7 @@ def cfg_exits(spark, sf_dir):
 @query("SELECT c_custkey, 'lost_' || c_custkey AS label FROM customer WHERE c_custkey % 7 = 0")
 def goto_unresolved(spark, sf_dir):
     """By anti join over the flattened tree."""
-    rows, got = _knobs(spark, sf_dir)
+    rows, got = _knobs(spark, sf_dir, columns=("ast",))
     ast = got.select("unit_id", F.explode("ast").alias("x")).select("unit_id", "x.*")
     return es.unresolved_gotos(ast).join(rows, "unit_id").select("c_custkey", "label")
 

@@ -34,6 +34,7 @@ def test_units_of_one_partition_are_dealt_over_all_cores(spark):
 COLUMNS = {
     "cfg_exits": "edges nodes",
     "drawio_files": "edges nodes",
+    "goto_unresolved": "ast",
 }
 
 
