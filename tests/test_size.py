@@ -35,6 +35,7 @@ COLUMNS = {
     "cfg_exits": "edges nodes",
     "drawio_files": "edges nodes",
     "goto_unresolved": "ast",
+    "layout_positions": "edges nodes",
 }
 
 
