@@ -230,7 +230,7 @@ def stmt_kinds(spark, sf_dir):
   UNION ALL SELECT 'made' FROM customer WHERE c_custkey % 2 = 0) GROUP BY name""")
 def facts_writes(spark, sf_dir):
     body = "'INSERT INTO dbo.a_', c_custkey % 3, ' SELECT 1; SELECT x INTO #t_', c_custkey % 2, ' FROM y; SELECT @v = 1; MERGE INTO m USING s ON 1 = 1 WHEN MATCHED THEN DELETE; DELETE FROM M; UPDATE TOP (5) m SET a = 1; ', if(c_custkey % 2 = 0, 'CREATE TABLE made (a INT)', 'SELECT a INTO @x FROM b')"
-    _, got = _customers(spark, sf_dir, _procedure(body), dialect="tsql")
+    _, got = _customers(spark, sf_dir, _procedure(body), dialect="tsql", columns=("writes",))
     return got.select(F.explode("writes").alias("name")).groupBy("name").agg(F.count("*").alias("objects"))
 
 

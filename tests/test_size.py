@@ -36,6 +36,7 @@ COLUMNS = {
     "drawio_files": "edges nodes",
     "goto_unresolved": "ast",
     "layout_positions": "edges nodes",
+    "facts_writes": "writes",
 }
 
 
