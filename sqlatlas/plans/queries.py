@@ -530,7 +530,7 @@ def attribution_totals(spark, sf_dir):
   SELECT 'branch' AS kind, c_custkey % 4 AS n FROM customer UNION ALL SELECT 'loop', c_custkey % 3 FROM customer UNION ALL SELECT 'handler', c_custkey % 2 FROM customer
   UNION ALL SELECT 'dynamic', CAST(c_custkey % 6 = 0 AS INT) FROM customer UNION ALL SELECT 'source_ref', c_custkey % 2 FROM customer) GROUP BY kind HAVING sum(n) > 0""")
 def construct_totals(spark, sf_dir):
-    _, got = _knobs(spark, sf_dir)
+    _, got = _knobs(spark, sf_dir, columns=("constructs",))
     return construct_coverage(got.select(F.explode("constructs").alias("c")).select("c.*"))
 
 

@@ -37,6 +37,7 @@ COLUMNS = {
     "goto_unresolved": "ast",
     "layout_positions": "edges nodes",
     "facts_writes": "writes",
+    "construct_totals": "constructs",
 }
 
 
