@@ -608,7 +608,7 @@ def fuzz_invariants(spark, sf_dir):
     cut = "int(p_partkey * 7919 % greatest(length(s), 1))"
     rows = table(spark, sf_dir, "part").selectExpr("*", f"{base} as s")
     rows = units(rows, f"case p_size % 5 when 0 then substring(s, 1, {cut}) when 1 then concat(substring(s, 1, {cut}), substring(s, {cut} + 4)) when 2 then concat(substring(s, 1, {cut}), substring(s, greatest({cut} - 20, 1))) when 3 then concat('(', replace(s, 'END', 'BEGIN')) else translate(s, ';=ae', '''([;') end", "p_partkey")
-    got = rows.select("unit_id", F.length("sql").alias("size")).join(analysed(rows, mode="flow"), "unit_id")
+    got = rows.select("unit_id", F.length("sql").alias("size")).join(analysed(rows, mode="flow", columns=("coverage", "nodes", "edges", "attribution", "tokens_total")), "unit_id")
     a = F.col("attribution")
     ids = F.col("nodes.id")
     checks = {

@@ -38,6 +38,7 @@ COLUMNS = {
     "layout_positions": "edges nodes",
     "facts_writes": "writes",
     "construct_totals": "constructs",
+    "fuzz_invariants": "attribution coverage edges nodes tokens_total",
 }
 
 
