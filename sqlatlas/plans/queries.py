@@ -635,7 +635,7 @@ def drawio_files(spark, sf_dir):
 
 @query()
 def prompts(spark, sf_dir):
-    rows, got = _knobs(spark, sf_dir)
+    rows, got = _knobs(spark, sf_dir, columns=("nodes", "edges", "dialect"))
     return rows.select("unit_id", "sql").join(got, "unit_id").select("unit_id", render.narration_prompt(render.mermaid(F.col("nodes"), F.col("edges")), F.col("sql"), F.col("dialect")).alias("prompt"))
 
 

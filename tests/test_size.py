@@ -39,6 +39,7 @@ COLUMNS = {
     "facts_writes": "writes",
     "construct_totals": "constructs",
     "fuzz_invariants": "attribution coverage edges nodes tokens_total",
+    "prompts": "dialect edges nodes",
 }
 
 
