@@ -5,7 +5,10 @@ Nothing outside ``sqlatlas.llm`` imports this subpackage.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,6 +49,36 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_given_back = 0.0
+
+
+def give_back(apart: float = 0.0) -> None:
+    """Free memory of this process goes back to the system, unless it did so less than ``apart`` seconds ago.
+
+    Allocators keep what was freed, and worker processes outlive their tasks: without this, every worker of an executor
+    holds the most that any of its tasks needed.
+    """
+    global _given_back
+    if time.monotonic() - _given_back >= apart:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+        _given_back = time.monotonic()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function over the batches of a task, with ``give_back`` at its end."""
+
+    @functools.wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own
+
+
 def hot_lookup(rows: DataFrame, key: str, classes: DataFrame, values: list[str], spread_by: str) -> DataFrame:
     """rows left-joined with a stored table of classes (key, size, values); size is the class's number of rows.
 
@@ -71,6 +104,7 @@ def hashed_table(rows: DataFrame, bits: int, entries: Callable[[pa.RecordBatch],
     """
     chunk = min(19, bits)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, value in entries(batch):
@@ -84,6 +118,7 @@ def hashed_table(rows: DataFrame, bits: int, entries: Callable[[pa.RecordBatch],
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "places", "values"])
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
+        give_back(1.0)
         own = np.zeros(1 << chunk, np.uint8)
         for x, y in zip(part["places"], part["values"], strict=True):
             np.maximum.at(own, np.frombuffer(x, "<u4"), np.frombuffer(y, np.uint8))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _P, ALNUM, Words, _powers, blocks, mix, slices_of, table
+from .common import _P, ALNUM, Words, _powers, blocks, mix, slices_of, table, tidy
 
 WINDOW = 10
 SLICE_BYTES, MOST_TEST_BYTES = 32 << 20, 1 << 30
@@ -153,6 +153,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_
     tests = slices(docs.sparkSession, benchmark, window, slice_bytes)
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at", "longest_item", "longest_item_at"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_of(batches):
             texts = [(x.as_py() or "").encode().lower() for x in batch.column("text")]

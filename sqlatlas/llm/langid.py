@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, remainder, slices_of, table
+from .common import blocks, mix, remainder, slices_of, table, tidy
 
 TRAIN_ROWS = 20_000
 SLOTS = 1 << 16
@@ -136,6 +136,7 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     every = max(1, -(-rows.count() // train_rows))
     rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("lang", "text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(KINDS * SLOTS + SCRIPTS, np.int64))
         for batch in slices_of(batches):
@@ -192,6 +193,7 @@ def label(texts: list[str], model: Model, penalty: float = PENALTY) -> list[tupl
 def _mapped(docs: DataFrame, model: Model, penalty: float, keep: float | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_of(batches):
             texts = [x.as_py() or "" for x in batch.column("text")]

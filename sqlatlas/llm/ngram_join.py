@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, Words, blocks, hashed_table, hot_lookup, mix, slices_of, table, text_of, written
+from .common import NOT_BLANK, Words, blocks, give_back, hashed_table, hot_lookup, mix, slices_of, table, text_of, tidy, written
 from .components import components
 
 SIZE, DIMS = 5, 256
@@ -113,6 +113,7 @@ def profiles(docs: DataFrame, bucket_bits: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     id_arrow = to_arrow_type(id_type)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         known: set[int] = set()
@@ -149,6 +150,7 @@ def frequent(made: DataFrame, bucket_bits: int) -> DataFrame:
     """(names, levels, n): the shingles of at least LEVELS[0] occurrences by bucket, as the hash's first bits, and their levels."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        give_back(1.0)
         x = np.concatenate([np.frombuffer(v, "<u4") for v in part["prints"]])
         u, c = np.unique(x, return_counts=True)
         u, c = u[c >= LEVELS[0]], c[c >= LEVELS[0]]
@@ -188,6 +190,7 @@ def leading(shingles: np.ndarray, levels: np.ndarray, bits: int, bucket_bits: in
 def dealt(docs: DataFrame, levels, bits: int, bucket_bits: int, buckets: int) -> DataFrame:
     """(bucket, shingles, sigs, sizes): the leading shingles of all rows, packed by bucket; equal sets once a task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         known: set[int] = set()
@@ -237,6 +240,7 @@ def met(packed: DataFrame) -> DataFrame:
     names = ["a", "b", "size_a", "size_b", "n", "hub", "shingle"]
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        give_back(1.0)
         s = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["shingles"]])
         g = np.concatenate([np.frombuffer(x, np.int64) for x in rows["sigs"]])
         n = np.concatenate([np.frombuffer(x, np.int32) for x in rows["sizes"]]).astype(np.int64)
@@ -319,6 +323,7 @@ def searched(members: DataFrame, nearest: int | None) -> DataFrame:
     """
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        give_back(1.0)
         points = points_of(rows["point"].tolist())
         n, g, label, block = (rows[c].to_numpy() for c in ("n", "sig", "label", "block"))
         x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
@@ -361,6 +366,7 @@ def _probes(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def sets_of(docs: DataFrame, bloom) -> DataFrame:
     """(sig, shingles): the whole sets of the rows whose signature passes the filter, once each."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         known: set[int] = set()
@@ -381,6 +387,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     one = nodes.select(F.col("sig").alias("a"), F.col("point").alias("pa"), F.col("n").alias("na"))
     two = nodes.select(F.col("sig").alias("b"), F.col("point").alias("pb"), F.col("n").alias("nb"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -397,6 +404,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose whole sets reach the threshold."""
     one, two = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("sig").alias("b"), F.col("shingles").alias("sb"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_of(batches):
             fine = []
@@ -467,6 +475,7 @@ def degrees(labels: DataFrame, sets: DataFrame) -> DataFrame:
     """(sig, n_links): with how many other sets each labelled set is linked, counted over all pairs of its component, in blocks."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        give_back(1.0)
         out = []
         for _, own in rows.groupby("label", sort=False):
             sig, block = own["sig"].to_numpy(), own["block"].to_numpy()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices_of, table, written
+from .common import give_back, slices_of, table, tidy, written
 from .tokens import CACHED, Specials, byte_level, kept
 
 CAPACITY, END_ID = 4096, 1
@@ -90,6 +90,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, ids = kept(spec.value, Ids)
         special = Specials(tokenizer)
@@ -272,6 +273,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rest = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
 
     def pack(part: pa.Table) -> pa.Table:
+        give_back(1.0)
         part = part.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         sequence, offset = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
         sizes = part["length"].to_pylist()
