@@ -106,21 +106,20 @@ class Minima:
     """Range minima of an array by doubling."""
 
     def __init__(self, x: np.ndarray):
-        self.rows, span = [x], 1
-        while 2 * span <= len(x):
-            last = self.rows[-1]
-            self.rows.append(np.minimum(last[: len(last) - span], last[span:]))
-            span *= 2
+        n = len(x)
+        spans = 1 << np.arange(max(1, n.bit_length()))
+        ends = np.cumsum(n - spans + 1) if n else spans * 0
+        self.first, self.rows = np.append(0, ends[:-1]), np.empty(int(ends[-1]), x.dtype)  # the rows of all levels, one after the other
+        self.rows[:n] = x
+        for k in range(1, len(spans) if n else 0):
+            last, half = self.rows[self.first[k - 1] : ends[k - 1]], int(spans[k - 1])
+            np.minimum(last[:-half], last[half:], out=self.rows[self.first[k] : ends[k]])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Of x[lo:hi], lo < hi."""
-        out = np.empty(len(lo), self.rows[0].dtype)
         level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            own = level == k
-            row = self.rows[k]
-            out[own] = np.minimum(row[lo[own]], row[hi[own] - (1 << int(k))])
-        return out
+        at = self.first[level]
+        return np.minimum(self.rows[at + lo], self.rows[at + hi - (1 << level)])
 
 
 def shared(text: np.ndarray, a: int, b: int, depth: int) -> int:
@@ -152,7 +151,8 @@ class Lists:
 
     def deal(self, before: np.ndarray, kind: np.ndarray, at: np.ndarray, prefixes: np.ndarray | None) -> None:
         """Predecessors (places, first symbols) of the block's tuples ``at``; prefixes: of the whole block, each with the tuple taken before."""
-        order = np.argsort(kind, kind="stable")
+        # 16-bit numbers have a radix sort; a stable sort of wider ones merges
+        order = np.argsort(kind.astype(np.uint16) if len(self.least) <= 1 << 16 else kind, kind="stable")
         before, kind, at = before[order], kind[order], at[order]
         edge = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(kind) else np.zeros(0, np.int64)
         ends = np.append(edge[1:], len(kind)) if len(edge) else edge
@@ -257,13 +257,30 @@ def unlike(text: np.ndarray, order: np.ndarray, size: np.ndarray) -> np.ndarray:
 def extended(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
     """Common prefixes of the suffixes a and b, of which ``known`` symbols agree, up to depth."""
     out, n = np.minimum(known, depth), len(text)
-    live = np.flatnonzero(out < depth)
-    while len(live):
-        x, y = a[live] + out[live], b[live] + out[live]
-        live, x, y = (v[np.maximum(x, y) < n] for v in (live, x, y))
-        live = live[text[x] == text[y]]
-        out[live] += 1
-        live = live[out[live] < depth]
+    live, step = np.flatnonzero(out < depth), 1
+    while len(live):  # most pairs part at once; what is left is compared by more and more symbols a round
+        rows = np.lib.stride_tricks.sliding_window_view(text, step) if step > 1 else text
+        kept = []
+        most = max(1, BLOCK // step)
+        for lo in range(0, len(live), most):
+            own = live[lo : lo + most]
+            x, y = a[own] + out[own], b[own] + out[own]
+            fits = np.maximum(x, y) + step <= n
+            if not fits.all():
+                for i in own[~fits].tolist():  # near the end of the text
+                    out[i] += shared(text, int(a[i] + out[i]), int(b[i] + out[i]), depth - int(out[i]))
+                own, x, y = own[fits], x[fits], y[fits]
+            if step == 1:
+                own = own[rows[x] == rows[y]]
+                out[own] += 1
+            else:
+                unequal = rows[x] != rows[y]
+                first = unequal.argmax(1)
+                parts = unequal[np.arange(len(own)), first]
+                out[own] = np.minimum(out[own] + np.where(parts, first, step), depth)
+                own = own[~parts]
+            kept.append(own[out[own] < depth])
+        live, step = np.concatenate(kept), min(32, 2 * step, n)
     return out
 
 
@@ -325,7 +342,7 @@ def suffixes(text: np.ndarray, depth: int, scratch: Scratch, symbols: int) -> tu
 def ranks(names: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of a string in memory by at least depth names: groups of equal ones are split by what follows them, 1, 2, 4, ... names on."""
     n = len(names)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names * n + np.arange(n))
     new = np.append(True, names[order][1:] != names[order][:-1])
     rank, span = np.empty(n, np.int64), 1
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -337,7 +354,7 @@ def ranks(names: np.ndarray, depth: int) -> np.ndarray:
         own = order[slots]
         after = np.where(own + span < n, rank[np.minimum(own + span, n - 1)], -1)
         head = rank[own]
-        by = np.lexsort((after, head))
+        by = np.argsort(head * (n + 1) + after)  # one key of both: at most BASE names
         own, after, head = own[by], after[by], head[by]
         order[slots] = own
         new = np.append(True, (head[1:] != head[:-1]) | (after[1:] != after[:-1]))

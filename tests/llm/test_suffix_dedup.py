@@ -99,3 +99,26 @@ def test_many_repeated_rows(spark):
     rows = [(7, text)] * 3000 + [(8, text + " more of it"), (9, "x" * 150)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert len(got) == 3002 and {(r.doc_id, len(r.kept), len(r.spans)) for r in got} == {(7, 0, 1), (8, 11, 1), (9, 150, 0)}
+
+
+def test_common_prefixes_take_few_rounds(monkeypatch):
+    rounds = []
+    rng = np.random.default_rng(4)
+    part = rng.integers(1, 5, 300)
+    text = np.concatenate((part, [6], part, [7], part[:150], [8, 0])).astype(np.uint16)
+    a, b = rng.integers(0, len(text), 4000), rng.integers(0, len(text), 4000)
+    a[:300], b[:300] = np.arange(300), np.arange(300) + 301
+    plain = [next((k for k in range(200) if max(x, y) + k >= len(text) or text[x + k] != text[y + k]), 200) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    known = np.minimum(plain, rng.integers(0, 3, 4000))
+    monkeypatch.setattr(induced.np, "maximum", lambda x, y, f=np.maximum: (rounds.append(1), f(x, y))[1])
+    got = induced.extended(text, a, b, known, 200)
+    monkeypatch.undo()
+    assert got.tolist() == plain and 0 < len(rounds) <= 12  # one for each symbol before
+
+
+def test_range_minima():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 64, 100):
+        x = rng.integers(0, 9, n).astype(np.uint16)
+        lo, hi = (np.array(v) for v in zip(*[(i, j) for i in range(n) for j in range(i + 1, n + 1)], strict=True))
+        assert induced.Minima(x).of(lo, hi).tolist() == [x[i:j].min() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
