@@ -262,6 +262,79 @@ def test_lm_scores(spark, frequent, monkeypatch):
     assert lm_score.score_documents(frame(spark, ["a b"]), F.lit(False)).first().n_known == 0
 
 
+def deep_ctw(train, texts, depth):
+    """Unfolded bytes, any depth, node by node."""
+    tree, below = defaultdict(lambda: [0, 0]), defaultdict(set)
+    path = lambda data, i: [tuple(data[i - d] if i >= d else 255 for d in range(1, k + 1)) for k in range(depth + 1)]
+    nodes = lambda byte: [((1 << j) | (byte >> (8 - j)), byte >> (7 - j) & 1) for j in range(8)]
+    for t in train:
+        data = t + b"\xff"
+        for i, byte in enumerate(data):
+            for node, bit in nodes(byte):
+                for c in path(data, i):
+                    tree[c, node][bit] += 1
+                    below[c[:-1], node].add(c)
+    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(z + o + 1)
+    seen, memo = {c for c, _ in tree}, {}
+
+    def both(c, node):  # own, own mixed with what is below
+        if (c, node) not in memo:
+            own = kt(*tree.get((c, node), (0, 0)))
+            memo[c, node] = (own, own if len(c) == depth else np.logaddexp(own, sum(both(x, node)[1] for x in below[c, node] if x != c)) - math.log(2))
+        return memo[c, node]
+
+    def one(contexts, node):
+        c = contexts[0]
+        z, o = tree.get((c, node), (0, 0))
+        own = (o + 0.5) / (z + o + 1)
+        if len(contexts) == 1 or contexts[1] not in seen:
+            return own
+        stop = math.exp(both(c, node)[0] - both(c, node)[1] - math.log(2))
+        return stop * own + (1 - stop) * one(contexts[1:], node)
+
+    chance = lambda data, i, node, bit: one(path(data, i), node) if bit else 1 - one(path(data, i), node)
+    return [sum(math.log10(chance(t + b"\xff", i, *x)) for i, byte in enumerate(t + b"\xff") for x in nodes(byte)) for t in texts]
+
+
+def test_lm_contexts_are_deep_and_unfolded(spark, monkeypatch):
+    """Case, digits and the bytes of longer characters are told apart, six bytes back, over many chunks and shards."""
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 700)
+    rng = random.Random(7)
+    texts = [None, "", "abcdefg", "ÿ\x00"] + [" ".join(rng.choice(["tram 4711", "Tram 4722", "журнал", "журнaл", "語彙", "4812"]) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    raw = [(t or "").encode() for t in texts]
+    used = [i % 4 != 1 for i in range(len(texts))]
+    want = deep_ctw([t for t, u in zip(raw, used, strict=True) if u], raw, lm_score.DEPTH)
+    got = {r.doc_id: r.score for r in lm_score.score_documents(frame(spark, texts), F.col("doc_id") % 4 != 1, lm_score.DEPTH).collect()}
+    assert len(got) == len(texts)
+    for i, w in enumerate(want):
+        assert -1e-6 * (len(raw[i]) + 1) < got[i] - w < 1e-9, texts[i]
+    assert lm_score.DEPTH > 3 and len(set(lm_score.CLASS.tolist())) == 256
+
+
+def test_lm_pieces_agree(monkeypatch):
+    """Small blocks of text, of numbers and of subtrees give what whole ones give."""
+    texts = [b"", b"one two three", b"", b"x", b"one two four " * 9, b"\xc3\xa9t\xc3\xa9"]
+    whole = lm_score.asked(texts, 5)
+    n = np.arange(len(whole)) % 3
+    logs = -np.arange(len(whole), dtype="<f4")
+    sums = lm_score.Coded(texts, 5).sums(whole, logs)
+    trees = [np.concatenate([t.tops()[k] for _, _, t in lm_score.subtrees(whole, n, 5)]) for k in range(4)]
+    top = lm_score.upper(*trees)
+    scores = lm_score.Tree(whole, n, 5).logs(top)
+    assert lm_score.unpacked(lm_score.packed(whole), len(whole)).tolist() == whole.tolist()
+    for name, value in (("BLOCK", 7), ("HELD_CODES", 5), ("TREE_CODES", 3)):
+        monkeypatch.setattr(lm_score, name, value)
+    assert lm_score.asked(texts, 5).tolist() == whole.tolist()
+    assert lm_score.Coded(texts, 5).sums(whole, logs) == sums == [sum(logs[np.searchsorted(whole, lm_score.asked([t], 5))]) if len(t) < 20 else sums[4] for t in texts]
+    parts = list(lm_score.subtrees(whole, n, 5))
+    assert len(parts) > 3 and [lo for lo, _, _ in parts[1:]] == [hi for _, hi, _ in parts[:-1]] and parts[-1][1] == len(whole)
+    for x, y in zip(top, lm_score.upper(*[np.concatenate([t.tops()[k] for _, _, t in parts]) for k in range(4)]), strict=True):
+        assert all(np.allclose(a.astype(float), b.astype(float)) for a, b in zip(x, y, strict=True))
+    assert np.allclose(np.concatenate([t.logs(top) for _, _, t in parts]), scores)
+    assert np.allclose([sum(10.0**x) for x in [lm_score.Tree(np.sort(np.arange(256, dtype=np.uint64) | whole[9] >> np.uint64(8) << np.uint64(8)), np.ones(256, np.int64), 5).logs(top)]], 1, atol=1e-4)
+
+
 #: Written by hand, none by the rules that train the model.
 HAND = [
     ("Reach Anna via anna.lee (at) mail (dot) example (dot) org before noon", [("email", "anna.lee (at) mail (dot) example (dot) org")]),
